@@ -19,9 +19,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE_CLASS, new_path, table
+from .common import SPACE_CLASS, new_path, table, written
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Digests with several rows are broadcast up to this many (some 100 bytes each); beyond it, they are joined by a shuffle.
+BROADCAST_ROWS = 200_000
 
 
 def normal(text: Column) -> Column:
@@ -75,10 +77,11 @@ def assign(docs: DataFrame, digests: DataFrame, state: DataFrame) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256 for each row of docs, hits confirmed on full bytes.
 
     Only rows of digests with several rows carry their text to the comparison."""
-    shared = state.filter("n > 1").select("sha", F.col("keep_id").alias("first_id"), "n")
+    shared = written(state.filter("n > 1").select("sha", F.col("keep_id").alias("first_id"), "n"), "dedup-shared")
+    few = F.broadcast(shared) if shared.count() <= BROADCAST_ROWS else shared
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), normal(F.col("text")).alias("body"), digest(F.col("text")).alias("sha"))
     alone = digests.select("doc_id", "sha").join(shared.select("sha"), "sha", "left_anti").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), F.col("sha").alias("text_sha256"))
-    hits = rows.join(shared, "sha")
+    hits = written(rows.join(few, "sha"), "dedup-hits")
     # repeated rows with the identifier that stays are equal in digest: one text of them is the reference
     first = hits.filter(F.col("doc_id").eqNullSafe(F.col("first_id"))).groupBy("sha").agg(F.min("body").alias("first_body"))
     checked = hits.join(first, "sha").select("doc_id", "sha", "first_id", "n", (F.col("body") == F.col("first_body")).alias("same"))

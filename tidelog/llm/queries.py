@@ -3,8 +3,14 @@
 from __future__ import annotations
 
 from .exact_dedup import OP6_SQL, op6_exact_dedup
+from .packing import op3_packing
+from .pii import op1_pii
+from .token_counts import op4_token_counts
 
 QUERIES = {
+    "op1_pii": op1_pii,
+    "op3_packing": op3_packing,
+    "op4_token_counts": op4_token_counts,
     "op6_exact_dedup": op6_exact_dedup,
 }
 ORACLE_SQL = {

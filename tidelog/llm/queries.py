@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 from .exact_dedup import OP6_SQL, op6_exact_dedup
+from .language import op8_language
 from .packing import op3_packing
 from .pii import op1_pii
+from .quality import op9_quality
+from .secrets import op10_secrets
 from .token_counts import op4_token_counts
 
 QUERIES = {
@@ -12,6 +15,9 @@ QUERIES = {
     "op3_packing": op3_packing,
     "op4_token_counts": op4_token_counts,
     "op6_exact_dedup": op6_exact_dedup,
+    "op8_language": op8_language,
+    "op9_quality": op9_quality,
+    "op10_secrets": op10_secrets,
 }
 ORACLE_SQL = {
     "op6_exact_dedup": OP6_SQL,

@@ -38,6 +38,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small(df: DataFrame, rows: int) -> DataFrame:
+    """df, to be broadcast only where it has at most so many rows; beyond that it is joined by a shuffle. df should be written."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def delete_path(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE_CLASS, new_path, table, written
+from .common import SPACE_CLASS, new_path, small, table, written
 
 #: Stores on disk; no preallocated log files, which take megabytes of each of many small stores.
 STORE = {
@@ -28,6 +28,8 @@ STORE = {
 }
 #: Digests with several rows are broadcast up to this many (some 100 bytes each); beyond it, they are joined by a shuffle.
 BROADCAST_ROWS = 200_000
+#: Identifiers alone, of 8 bytes.
+BROADCAST_IDS = 500_000
 
 
 def normal(text: Column) -> Column:
@@ -83,7 +85,7 @@ def assign(docs: DataFrame, digests: DataFrame, state: DataFrame) -> DataFrame:
 
     Only rows of digests with several rows carry their text to the comparison."""
     shared = written(state.filter("n > 1").select("sha", F.col("keep_id").alias("first_id"), "n"), "dedup-shared")
-    few = F.broadcast(shared) if shared.count() <= BROADCAST_ROWS else shared
+    few = small(shared, BROADCAST_ROWS)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), normal(F.col("text")).alias("body"), digest(F.col("text")).alias("sha"))
     alone = digests.select("doc_id", "sha").join(shared.select("sha"), "sha", "left_anti").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), F.col("sha").alias("text_sha256"))
     hits = written(rows.join(few, "sha"), "dedup-hits")
@@ -111,8 +113,8 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, checkpoint: str | None = N
 
 def keep_first(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """The rows of docs that stay, with all their columns."""
-    stay = exact_dedup(spark, docs).filter("kept").select(F.col("doc_id").alias("_stay")).distinct()
-    return docs.join(stay, F.col("doc_id").cast("long").eqNullSafe(F.col("_stay")), "left_semi")
+    stay = written(exact_dedup(spark, docs).filter("kept").select(F.col("doc_id").alias("_stay")).distinct(), "dedup-stay")
+    return docs.join(small(stay, BROADCAST_IDS), F.col("doc_id").cast("long").eqNullSafe(F.col("_stay")), "left_semi")
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from .exact_dedup import OP6_SQL, op6_exact_dedup
 from .language import op8_language
 from .mixing import OP7_SQL, op7_mixing
+from .near_dedup import op5_near_dedup
 from .packing import op3_packing
 from .pii import op1_pii
 from .quality import op9_quality
@@ -17,6 +18,7 @@ QUERIES = {
     "op2_topk": op2_topk,
     "op3_packing": op3_packing,
     "op4_token_counts": op4_token_counts,
+    "op5_near_dedup": op5_near_dedup,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_mixing": op7_mixing,
     "op8_language": op8_language,

@@ -15,7 +15,8 @@ from ..schema import APPEND_REQUESTS, MESSAGES
 from ..sources.log import read_messages, write_messages
 from ..sources.scratch import new_path
 from ..streaming import live
-from ..streaming.stateful import ROCKSDB, append_stream
+from ..streaming.settings import disk_state
+from ..streaming.stateful import append_stream
 from . import requests as R
 from .oracle import ORACLE_SQL
 
@@ -418,18 +419,11 @@ def streaming_append(spark: SparkSession, sf: str) -> DataFrame:
     columns = [c.split()[0] for c in APPEND_REQUESTS.split(", ")]
     landing, out, checkpoint = (new_path(spark, n) for n in ("requests", "outcomes", "checkpoint"))
     log.select(*columns).repartitionByRange(3, "ingest_seq").sortWithinPartitions("ingest_seq").write.parquet(landing)
-    settings = {"spark.sql.streaming.stateStore.providerClass": ROCKSDB, "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false"}
-    before = {k: spark.conf.get(k, None) for k in settings}
-    for k, v in settings.items():
-        spark.conf.set(k, v)
-    try:
+    with disk_state(spark):
         asked = spark.readStream.schema(APPEND_REQUESTS).parquet(landing)
         rows = append_stream(asked, R.append_streams(log)).select(*OUTCOME)
         rows.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
-        return spark.read.schema(rows.schema).parquet(out)
-    finally:
-        for k, v in before.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    return spark.read.schema(rows.schema).parquet(out)
 
 
 @query

@@ -11,10 +11,9 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators.append import events_of, outcome_frame, outcome_row, request_of, state_of
 from ..operators.transition import StreamState, apply
-from ..schema import APPEND_REQUESTS, OUTCOMES, PRODUCER_TTL
+from ..schema import APPEND_REQUESTS, OUTCOMES
 
 STREAM_STATE = "exists boolean, content_type string, tail string, last_seq string, closed boolean, by_id string, by_epoch long, by_seq long, created double, ttl long, expires string"
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 class Appends(StatefulProcessor):
@@ -63,7 +62,7 @@ class Appends(StatefulProcessor):
 def append_stream(requests: DataFrame, streams: DataFrame, strict: bool = False) -> DataFrame:
     """Outcomes of a stream of requests, given the streams that exist. Requests of a path must arrive in order of ingest_seq over batches.
 
-    Needs the RocksDB state store: spark.sql.streaming.stateStore.providerClass. Producers are forgotten
+    Start it within settings.disk_state: it needs the RocksDB state store. Producers are forgotten
     after PRODUCER_TTL seconds, when a later request of their stream comes, so state is bounded by the
     producers of that time."""
     none = streams.sparkSession.createDataFrame([], APPEND_REQUESTS)
@@ -76,6 +75,3 @@ def _requests_only(requests: DataFrame) -> DataFrame:
     at = (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("at")
     null = lambda kind: F.lit(None).cast(kind)
     return requests.select("path", at, F.lit(2).alias("kind"), F.col("ingest_seq").cast("long").alias("ingest_seq"), null("string").alias("current_offset"), F.lit(False).alias("closed"), null("string").alias("by_id"), null("long").alias("by_epoch"), null("long").alias("by_seq"), null("long").alias("ttl_seconds"), null("string").alias("expires_at"), "content_type", "stream_seq", "stream_closed", "producer_id", "producer_epoch", "producer_seq", "body")
-
-
-STATE_RETENTION_SECONDS = PRODUCER_TTL

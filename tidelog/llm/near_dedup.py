@@ -11,9 +11,11 @@ only 2 * HALVES * WIDTH minhashes. A pair of similarity 0.8 shares a key but for
    the leaders of its buckets, on full sets: as many pairs as members, never all pairs of a bucket.
 3. Verified links give components (alternating large and small stars over written tables).
 4. What two members of a bucket could still have in common without their leader is settled exactly:
-   where a member isn't in its leader's component, the members of that star meet by prefix filter, each
-   with the `n - ceil(0.8 n) + 1` shingles that are rarest in the star, pairs of one component left out and
-   pairs too far apart by the triangle inequality of the Jaccard distance too; survivors are verified.
+   where a member isn't in its leader's component, the members of that star meet by shingles that the
+   leader hasn't, of which a pair has some unless both have enough in common with the leader; those
+   meet by prefix filter, each with the `n - ceil(0.8 n) + 1` shingles that are rarest in the star. Left
+   out are members with too many shingles that no other member has, pairs of one component, and pairs
+   too far apart by the triangle inequality of the Jaccard distance; survivors are verified.
 
 Defined results: null and empty texts and texts without words have an empty set, are linked with nothing
 and are their own component; texts with fewer words than a shingle are one shingle; repeated rows are in
@@ -177,6 +179,11 @@ def linked() -> Column:
     return 100 * F.col("both") >= PERCENT * (F.col("nx") + F.col("ny") - F.col("both"))
 
 
+def need(nx: Column, ny: Column) -> Column:
+    """The least that sets of these sizes share where they are linked."""
+    return F.ceil(PERCENT * (nx + ny) / (100 + PERCENT))
+
+
 def leaders(classes: DataFrame) -> DataFrame:
     """Distinct (x, y): class x shares a bucket that y leads."""
     keys = F.flatten(F.transform("a", lambda u, i: F.transform("b", lambda v, j: F.xxhash64(i, j, u, v))))
@@ -194,23 +201,35 @@ def leftovers(stars: DataFrame, sets: DataFrame, roots: DataFrame) -> DataFrame
     union = F.col("nx") + F.col("ny") - F.col("both")
     root = roots.select(F.col("id").alias("x"), F.col("root").alias("rx"))
     lead = roots.select(F.col("id").alias("y"), F.col("root").alias("ry"))
-    rows = stars.join(root, "x", "left").join(lead, "y", "left").select(F.col("y").alias("z"), F.col("x").alias("id"), F.col("nx").alias("n"), (1 - F.col("both") / union).alias("d"), F.coalesce("rx", "x").alias("c"), F.coalesce("ry", "y").alias("cz"))
+    rows = stars.join(root, "x", "left").join(lead, "y", "left").select(F.col("y").alias("z"), F.col("x").alias("id"), F.col("nx").alias("n"), F.col("both").alias("i"), (1 - F.col("both") / union).alias("d"), F.coalesce("rx", "x").alias("c"), F.coalesce("ry", "y").alias("cz"))
     star = rows.groupBy("z").agg(F.count(F.lit(1)).alias("m"), F.min(F.when(F.col("c") != F.col("cz"), F.col("d"))).alias("near"))
     star = star.filter("m > 1 and near is not null").select("z", "near")
     far = 1 - PERCENT / 100 + 1e-9
-    rest = written(rows.join(star, "z").filter((F.col("c") != F.col("cz")) | (F.col("near") <= F.col("d") + far)).select("z", "id", "n", "d", "c"), "star-rest")
+    rest = written(rows.join(star, "z").filter((F.col("c") != F.col("cz")) | (F.col("near") <= F.col("d") + far)).select("z", "id", "n", "i", "d", "c"), "star-rest")
     if rest.isEmpty():
         return None
-    each = rest.join(sets, "id").select("z", "id", "n", "d", "c", F.explode("s").alias("h"))
+    sided = rest.join(sets, "id").join(sets.select(F.col("id").alias("z"), F.col("s").alias("sz")), "z")
+    inside = F.transform(F.array_intersect("s", "sz"), lambda h: F.struct(h.alias("h"), F.lit(True).alias("led")))
+    outside = F.transform(F.array_except("s", "sz"), lambda h: F.struct(h.alias("h"), F.lit(False).alias("led")))
+    each = sided.select("z", "id", "n", "i", "d", "c", F.inline(F.concat(inside, outside)))
     held = each.groupBy("z", "h").agg(F.count(F.lit(1)).alias("df"))
-    rank = F.row_number().over(Window.partitionBy("z", "id").orderBy("df", "h"))
-    prefix = each.join(held, ["z", "h"]).withColumn("k", rank).filter((F.col("k") <= F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1) & (F.col("df") > 1))
-    prefix = written(prefix.select("z", "h", "id", "n", "d", "c"), "star-prefix")
-    mixed_ = prefix.groupBy("z", "h").agg(F.min("c").alias("c1"), F.max("c").alias("c2")).filter("c1 <> c2").select("z", "h")
-    left = prefix.join(mixed_, ["z", "h"])
-    right = left.select("z", "h", *(F.col(c).alias(f"{c}2") for c in ("id", "n", "d", "c")))
+    own = Window.partitionBy("z", "id")
+    ranked = each.join(held, ["z", "h"]).withColumn("k", F.row_number().over(own.orderBy("df", "h"))).withColumn("r", F.count(F.when(F.col("df") > 1, 1)).over(own))
+    smallest = F.ceil(F.col("n") * PERCENT / 100)
+    # members that share with each other mostly what the leader has meet by prefixes; others by what it hasn't
+    by_prefix = (F.col("k") <= F.col("n") - smallest + 1) & (F.col("i") >= need(F.col("n"), smallest))
+    keys = ranked.filter((F.col("df") > 1) & (F.col("r") >= need(F.col("n"), smallest)) & (by_prefix | ~F.col("led")))
+    keys = written(keys.select("z", "h", "id", "n", "r", "i", "d", "c", by_prefix.alias("p"), "led"), "star-keys")
+    # what a member shares with others of the star is at most r, and a link needs `need` in common
+    for _ in range(2):
+        lists = keys.groupBy("z", "h").agg(F.min("n").alias("least"), F.min("c").alias("c1"), F.max("c").alias("c2")).filter("c1 <> c2").select("z", "h", "least")
+        partner = F.greatest(F.col("least"), F.ceil(F.col("n") * PERCENT / 100))
+        keys = written(keys.join(lists, ["z", "h"]).filter((F.col("r") >= need(F.col("n"), partner)) & (~F.col("led") | (F.col("i") >= need(F.col("n"), partner)))).drop("least"), "star-keys")
+    right = keys.select("z", "h", *(F.col(c).alias(f"{c}2") for c in ("id", "n", "r", "i", "d", "c", "p")))
+    wanted = need(F.col("n"), F.col("n2"))
     near = (F.col("id") < F.col("id2")) & (F.col("c") != F.col("c2")) & (F.abs(F.col("d") - F.col("d2")) <= far) & (100 * F.least("n", "n2") >= PERCENT * F.greatest("n", "n2"))
-    return left.join(right, ["z", "h"]).filter(near).select(F.col("id").alias("x"), F.col("id2").alias("y")).distinct()
+    met = ~F.col("led") | (F.col("p") & F.col("p2") & (F.least("i", "i2") >= wanted))
+    return keys.join(right, ["z", "h"]).filter(near & (F.least("r", "r2") >= wanted) & met).select(F.col("id").alias("x"), F.col("id2").alias("y")).distinct()
 
 
 def near_duplicates(docs: DataFrame, k: int = 4) -> DataFrame:

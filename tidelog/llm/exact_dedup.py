@@ -19,13 +19,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..streaming.settings import disk_state
 from .common import SPACE_CLASS, new_path, small, table, written
 
-#: Stores on disk; no preallocated log files, which take megabytes of each of many small stores.
-STORE = {
-    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
-    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
-}
 #: Digests with several rows are broadcast up to this many (some 100 bytes each); beyond it, they are joined by a shuffle.
 BROADCAST_ROWS = 200_000
 #: Identifiers alone, of 8 bytes.
@@ -43,16 +39,9 @@ def digest(text: Column) -> Column:
 
 def update_state(stream: DataFrame, checkpoint: str) -> None:
     """Feeds what is new in stream (doc_id, sha, locator) to the state under checkpoint."""
-    spark = stream.sparkSession
-    before = {k: spark.conf.get(k, None) for k in STORE}
-    for k, v in STORE.items():
-        spark.conf.set(k, v)
-    try:
+    with disk_state(stream.sparkSession):
         kept = stream.groupBy("sha").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "locator")).alias("first"), F.count(F.lit(1)).alias("n"))
         kept.writeStream.format("noop").outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
-    finally:
-        for k, v in before.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def read_state(spark: SparkSession, checkpoint: str) -> DataFrame:

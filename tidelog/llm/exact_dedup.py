@@ -16,6 +16,9 @@ rows; other columns are ignored by the operator and kept by `keep_first`.
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,35 +54,45 @@ def read_state(spark: SparkSession, checkpoint: str) -> DataFrame:
     return state.select(F.col("key")[state.schema["key"].dataType.names[0]].alias("sha"), F.col("value")[value[0]]["doc_id"].alias("keep_id"), F.col("value")[value[0]]["locator"].alias("locator"), F.col("value")[value[1]].alias("n"))
 
 
-def landed(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, sha, locator) of docs as a table and as a stream: digests are computed once, into a landing folder that a file source reads."""
-    landing = new_path(spark, "dedup-landing")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), digest(F.col("text")).alias("sha"), F.col("_metadata.file_name").alias("locator") if "_metadata" in _hidden(docs) else F.lit("rows").alias("locator"))
-    rows.write.parquet(landing)
-    return spark.read.schema(rows.schema).parquet(landing), spark.readStream.schema(rows.schema).parquet(landing)
+def landed(spark: SparkSession, docs: DataFrame, checkpoint: str) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, sha, locator) of docs as a table, and as a stream with what landed for this state before.
+
+    Digests are computed once, into a landing folder beside the state that a file source reads. The
+    locator is the file that holds the row; rows that don't come from files are written beside the
+    state first."""
+    run = f"run={uuid.uuid4().hex}"
+    if not _from_files(docs):
+        docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").write.parquet(f"{checkpoint}-content/{run}")
+        docs = spark.read.parquet(f"{checkpoint}-content/{run}")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), digest(F.col("text")).alias("sha"), F.col("_metadata.file_path").alias("locator"))
+    rows.write.parquet(f"{checkpoint}-landing/{run}")
+    return spark.read.schema(rows.schema).parquet(f"{checkpoint}-landing/{run}"), spark.readStream.schema(rows.schema).parquet(f"{checkpoint}-landing")
 
 
-def _hidden(docs: DataFrame) -> list[str]:
+def _from_files(docs: DataFrame) -> bool:
     try:
-        docs.select("_metadata.file_name")
-        return ["_metadata"]
-    except Exception as error:  # only the analyser's refusal: the frame doesn't come from files
-        if "UNRESOLVED_COLUMN" in str(error) or "FIELD_NOT_FOUND" in str(error):
-            return []
+        docs.select("_metadata.file_path")
+        return True
+    except AnalysisException as error:
+        if error.getCondition() and error.getCondition().startswith("UNRESOLVED_COLUMN"):
+            return False
         raise
 
 
-def assign(docs: DataFrame, digests: DataFrame, state: DataFrame) -> DataFrame:
+def assign(docs: DataFrame, digests: DataFrame, state: DataFrame, seen_before: bool = False) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256 for each row of docs, hits confirmed on full bytes.
 
-    Only rows of digests with several rows carry their text to the comparison."""
-    shared = written(state.filter("n > 1").select("sha", F.col("keep_id").alias("first_id"), "n"), "dedup-shared")
-    few = small(shared, BROADCAST_ROWS)
+    Only rows of digests with several rows carry their text to the comparison. seen_before: the texts
+    that stay may be those of earlier runs; they are read by their locators."""
+    shared = written(state.filter("n > 1").select("sha", F.col("keep_id").alias("first_id"), "locator", "n"), "dedup-shared")
+    few = small(shared.select("sha", "first_id", "n"), BROADCAST_ROWS)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), normal(F.col("text")).alias("body"), digest(F.col("text")).alias("sha"))
     alone = digests.select("doc_id", "sha").join(shared.select("sha"), "sha", "left_anti").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), F.col("sha").alias("text_sha256"))
     hits = written(rows.join(few, "sha"), "dedup-hits")
     # repeated rows with the identifier that stays are equal in digest: one text of them is the reference
     first = hits.filter(F.col("doc_id").eqNullSafe(F.col("first_id"))).groupBy("sha").agg(F.min("body").alias("first_body"))
+    if seen_before:
+        first = first.unionByName(_earlier(shared.join(hits.select("sha"), "sha", "left_semi").join(first.select("sha"), "sha", "left_anti")))
     checked = hits.join(first, "sha").select("doc_id", "sha", "first_id", "n", (F.col("body") == F.col("first_body")).alias("same"))
     sizes = F.when(F.col("same"), F.col("n"))
     equal = checked.select(
@@ -92,12 +105,23 @@ def assign(docs: DataFrame, digests: DataFrame, state: DataFrame) -> DataFrame:
     return alone.unionByName(equal)
 
 
+def _earlier(wanted: DataFrame) -> DataFrame:
+    """(sha, first_body) of texts that stayed in earlier runs, read from their files. Only the files' names reach the driver."""
+    spark = wanted.sparkSession
+    wanted = written(wanted.select("sha", "first_id", "locator"), "dedup-earlier")
+    files = [r[0] for r in wanted.select("locator").distinct().collect()]
+    if not files:
+        return wanted.select("sha", F.lit("").alias("first_body")).limit(0)
+    kept = spark.read.parquet(*files).select(F.col("doc_id").cast("long").alias("first_id"), normal(F.col("text")).alias("body"), digest(F.col("text")).alias("sha"))
+    return kept.join(wanted.select("sha", "first_id"), ["sha", "first_id"], "left_semi").groupBy("sha").agg(F.min("body").alias("first_body"))
+
+
 def exact_dedup(spark: SparkSession, docs: DataFrame, checkpoint: str | None = None) -> DataFrame:
     """One row per row of docs; checkpoint: that of an earlier run, whose texts then count as seen."""
-    checkpoint = checkpoint or new_path(spark, "dedup-state")
-    digests, stream = landed(spark, docs)
-    update_state(stream, checkpoint)
-    return assign(docs, digests, read_state(spark, checkpoint))
+    state = checkpoint or new_path(spark, "dedup-state")
+    digests, stream = landed(spark, docs, state)
+    update_state(stream, state)
+    return assign(docs, digests, read_state(spark, state), seen_before=checkpoint is not None)
 
 
 def keep_first(spark: SparkSession, docs: DataFrame) -> DataFrame:

@@ -95,7 +95,7 @@ def mix(docs: DataFrame, domain: Column, part: float, weights: dict[str, dict[st
     sure = dealt.filter("at is null or bucket <> at").withColumn("more", F.expr("at is null or bucket < at"))
     order = Window.partitionBy(*LEVELS).orderBy("h", "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     last = dealt.filter("bucket = at").withColumn("more", F.col("base") + F.sum("tokens").over(order) <= F.col("rest"))
-    return sure.unionByName(last).select("doc_id", *LEVELS, "tokens", (F.col("full") + F.col("more").cast("int")).alias("copies"))
+    return sure.unionByName(last).select("doc_id", *LEVELS, "tokens", F.when(F.col("tokens") == 0, 1).otherwise(F.col("full") + F.col("more").cast("int")).cast("long").alias("copies"))
 
 
 def keep_mixed(docs: DataFrame, domain: Column, part: float, weights: dict[str, dict[str, int]], seed: int = 11) -> DataFrame:
@@ -142,5 +142,5 @@ n3 AS (SELECT domain, lang, source, tokens, cap, budget FROM leaf JOIN lang_b US
 p AS (SELECT domain, lang, source, CASE WHEN tokens > 0 THEN floor(s.budget / tokens)::BIGINT ELSE 0 END AS "full", s.budget, tokens AS leaf_tokens FROM source_b s JOIN leaf USING (domain, lang, source)),
 h AS (SELECT d.*, p."full", budget - p."full" * leaf_tokens AS rest, ('0x' || substr(md5('11:' || (p."full" + 1) || ':' || doc_id), 1, 15))::BIGINT AS h FROM d JOIN p USING (domain, lang, source)),
 r AS (SELECT *, sum(tokens) OVER (PARTITION BY domain, lang, source ORDER BY h, doc_id ROWS UNBOUNDED PRECEDING) AS upto FROM h)
-SELECT doc_id, domain, lang, source, tokens, ("full" + (upto <= rest)::INTEGER)::BIGINT AS copies FROM r
+SELECT doc_id, domain, lang, source, tokens, CASE WHEN tokens = 0 THEN 1 ELSE "full" + (upto <= rest)::INTEGER END::BIGINT AS copies FROM r
 """

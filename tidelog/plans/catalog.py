@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import exprs as X
 from ..functions.jsoncanon import canonical, canonical_elements
-from ..operators import append, faults, framing, lifecycle, producer, read, rollup
+from ..operators import append, faults, framing, http, lifecycle, producer, read, rollup
 from ..operators.offsets import tails, with_offsets, with_starts
 from ..schema import APPEND_REQUESTS, MESSAGES
 from ..sources.log import read_messages, write_messages
@@ -409,6 +409,57 @@ def fault_injection(spark: SparkSession, sf: str) -> DataFrame:
     return faults.faulted(asked, rules)
 
 
+# -- responses -------------------------------------------------------------------------------
+
+HEADERS = ("stream-next-offset", "stream-closed", "producer-epoch", "producer-seq", "producer-expected-seq", "producer-received-seq", "content-type")
+
+
+@query
+def append_headers(spark: SparkSession, sf: str) -> DataFrame:
+    log = R.append_log(spark, sf)
+    rows = http.append_headers(append.append_outcomes(log, R.append_streams(log)), log)
+    return rows.select("path", "ingest_seq", "http_status", *(F.col("headers")[h].alias(h.replace("-", "_")) for h in HEADERS))
+
+
+@query
+def read_headers(spark: SparkSession, sf: str) -> DataFrame:
+    rows = http.read_headers(_reads(spark, sf))
+    names = ("stream-next-offset", "stream-up-to-date", "stream-closed", "stream-cursor", "etag", "content-type")
+    return rows.select("req_id", "http_status", *(F.col("headers")[h].alias(h.replace("-", "_")) for h in names))
+
+
+@query
+def dispatch(spark: SparkSession, sf: str) -> DataFrame:
+    i = F.col("event_id")
+    method = F.when(i % 8 == 0, "get").when(i % 8 == 1, "PUT").when(i % 8 == 2, "Post").when(i % 8 == 3, "HEAD").when(i % 8 == 4, "DELETE").when(i % 8 == 5, "OPTIONS").when(i % 8 == 6, "PATCH").otherwise("TRACE")
+    return http.routed(_events(spark, sf).select("event_id", method.alias("method")))
+
+
+@query
+def header_lookup(spark: SparkSession, sf: str) -> DataFrame:
+    pair = lambda n, v: F.struct(n.cast("binary").alias("name"), v.cast("binary").alias("value"))
+    h = F.array(pair(F.lit("X-Other"), F.lit("1")), pair(F.lit("STREAM-Seq"), F.col("event_id").cast("string")), pair(F.lit("stream-seq"), F.lit("late")))
+    rows = _events(spark, sf).select("event_id", h.alias("h"))
+    return rows.select("event_id", http.header_value("h", "Stream-Seq").alias("seq"), http.header_value("h", "absent").alias("absent"))
+
+
+@query
+def carried_cursors(spark: SparkSession, sf: str) -> DataFrame:
+    """Strict mode: jitter differs from pass to pass, a connection's cursor still doesn't go back."""
+    e = R.table(spark, sf, "events")
+    rows = e.select(F.col("user_id").alias("connection"), F.col("event_id").alias("pass"), (F.lit(1000) + F.col("event_id") * 7919 % 180).cast("string").alias("cursor"))
+    return http.carried_cursors(rows)
+
+
+@query
+def strict_expiry(spark: SparkSession, sf: str) -> DataFrame:
+    """The zone of an expiry text counts in strict mode only."""
+    e = R.table(spark, sf, "events")
+    until = F.when(F.col("event_id") % 2 == 0, "2024-01-10T00:00:00+02:00").otherwise("2024-01-10T00:00:00-05:00")
+    rows = e.select("event_id", F.lit("2024-01-01 00:00:00").cast("timestamp").alias("c"), F.lit(None).cast("long").alias("ttl"), until.alias("until"), F.col("ts").cast("timestamp").alias("as_of"))
+    return rows.select("event_id", X.expired("c", "ttl", "until", "as_of").alias("expired"), X.expired("c", "ttl", "until", "as_of", strict=True).alias("strictly"))
+
+
 # -- streaming -------------------------------------------------------------------------------
 
 

@@ -220,3 +220,18 @@ ORACLE_SQL |= {
     "live_tail": f"""WITH {OFFSETS} SELECT path, ingest_seq, "offset" FROM o WHERE "offset" > '0000000000000000_0000000000000500'""",
     "log_range_read": f"""WITH {OFFSETS} SELECT path, ingest_seq, "offset" FROM o WHERE path = '7' AND "offset" > '0000000000000000_0000000000000100'""",
 }
+
+# -- responses -------------------------------------------------------------------------------
+
+ORACLE_SQL |= {
+    "append_headers": f"""WITH {_APPENDS}, x AS (SELECT r.*, l.body = '' AS only_close FROM r JOIN l USING (path, ingest_seq))
+SELECT path, ingest_seq, http_status, next_offset AS stream_next_offset, CASE WHEN (status IN ('accepted', 'duplicate', 'stream_closed') AND closed) OR (status = 'duplicate' AND only_close) THEN 'true' END AS stream_closed,
+  producer_epoch::VARCHAR AS producer_epoch, producer_seq::VARCHAR AS producer_seq, expected_seq::VARCHAR AS producer_expected_seq, received_seq::VARCHAR AS producer_received_seq, CASE WHEN http_status >= 400 THEN 'text/plain' END AS content_type FROM x""",
+    "read_headers": _read("0, 1, 2, 3, 4, 5, 6, 7", """req_id, http_status, CASE WHEN http_status < 300 THEN next_offset END AS stream_next_offset, CASE WHEN http_status < 300 THEN 'true' END AS stream_up_to_date, CASE WHEN http_status < 300 AND closed THEN 'true' END AS stream_closed,
+  CASE WHEN http_status < 300 THEN next_cursor END AS stream_cursor, etag, CASE WHEN http_status >= 400 THEN 'text/plain' END AS content_type"""),
+    "dispatch": """WITH m AS (SELECT event_id, ['get', 'PUT', 'Post', 'HEAD', 'DELETE', 'OPTIONS', 'PATCH', 'TRACE'][event_id % 8 + 1] AS method FROM events)
+SELECT event_id, method, CASE upper(method) WHEN 'GET' THEN 'read' WHEN 'PUT' THEN 'create' WHEN 'POST' THEN 'append' WHEN 'HEAD' THEN 'head' WHEN 'DELETE' THEN 'delete' WHEN 'OPTIONS' THEN 'preflight' END AS operation, CASE event_id % 8 WHEN 5 THEN 204 WHEN 6 THEN 405 WHEN 7 THEN 405 END AS http_status FROM m""",
+    "header_lookup": "SELECT event_id, event_id::VARCHAR AS seq, NULL::VARCHAR AS absent FROM events",
+    "carried_cursors": "SELECT user_id AS connection, event_id AS pass, (max(1000 + event_id * 7919 % 180) OVER (PARTITION BY user_id ORDER BY event_id))::VARCHAR AS cursor FROM events",
+    "strict_expiry": """SELECT event_id, ts > TIMESTAMP '2024-01-10 00:00:00' AS expired, ts > CASE WHEN event_id % 2 = 0 THEN TIMESTAMP '2024-01-09 22:00:00' ELSE TIMESTAMP '2024-01-10 05:00:00' END AS strictly FROM events""",
+}

@@ -203,7 +203,8 @@ def leftovers(stars: DataFrame, sets: DataFrame, roots: DataFrame) -> DataFrame
     lead = roots.select(F.col("id").alias("y"), F.col("root").alias("ry"))
     rows = stars.join(root, "x", "left").join(lead, "y", "left").select(F.col("y").alias("z"), F.col("x").alias("id"), F.col("nx").alias("n"), F.col("both").alias("i"), (1 - F.col("both") / union).alias("d"), F.coalesce("rx", "x").alias("c"), F.coalesce("ry", "y").alias("cz"))
     star = rows.groupBy("z").agg(F.count(F.lit(1)).alias("m"), F.min(F.when(F.col("c") != F.col("cz"), F.col("d"))).alias("near"))
-    star = star.filter("m > 1 and near is not null").select("z", "near")
+    # tables that hot stars are joined to are written, so that the joins' sides are plain exchanges, which can be split
+    star = written(star.filter("m > 1 and near is not null").select("z", "near"), "star-heads")
     far = 1 - PERCENT / 100 + 1e-9
     rest = written(rows.join(star, "z").filter((F.col("c") != F.col("cz")) | (F.col("near") <= F.col("d") + far)).select("z", "id", "n", "i", "d", "c"), "star-rest")
     if rest.isEmpty():
@@ -212,17 +213,19 @@ def leftovers(stars: DataFrame, sets: DataFrame, roots: DataFrame) -> DataFrame
     inside = F.transform(F.array_intersect("s", "sz"), lambda h: F.struct(h.alias("h"), F.lit(True).alias("led")))
     outside = F.transform(F.array_except("s", "sz"), lambda h: F.struct(h.alias("h"), F.lit(False).alias("led")))
     each = sided.select("z", "id", "n", "i", "d", "c", F.inline(F.concat(inside, outside)))
-    held = each.groupBy("z", "h").agg(F.count(F.lit(1)).alias("df"))
+    held = written(each.groupBy("z", "h").agg(F.count(F.lit(1)).alias("df")).filter("df > 1"), "star-held")
     own = Window.partitionBy("z", "id")
-    ranked = each.join(held, ["z", "h"]).withColumn("k", F.row_number().over(own.orderBy("df", "h"))).withColumn("r", F.count(F.when(F.col("df") > 1, 1)).over(own))
+    # shingles that no other member has are the rarest: they only shift the ranks of the others
+    ranked = each.join(held, ["z", "h"]).withColumn("r", F.count(F.lit(1)).over(own)).withColumn("k", F.col("n") - F.col("r") + F.row_number().over(own.orderBy("df", "h")))
     smallest = F.ceil(F.col("n") * PERCENT / 100)
     # members that share with each other mostly what the leader has meet by prefixes; others by what it hasn't
     by_prefix = (F.col("k") <= F.col("n") - smallest + 1) & (F.col("i") >= need(F.col("n"), smallest))
-    keys = ranked.filter((F.col("df") > 1) & (F.col("r") >= need(F.col("n"), smallest)) & (by_prefix | ~F.col("led")))
+    keys = ranked.filter((F.col("r") >= need(F.col("n"), smallest)) & (by_prefix | ~F.col("led")))
     keys = written(keys.select("z", "h", "id", "n", "r", "i", "d", "c", by_prefix.alias("p"), "led"), "star-keys")
     # what a member shares with others of the star is at most r, and a link needs `need` in common
     for _ in range(2):
-        lists = keys.groupBy("z", "h").agg(F.min("n").alias("least"), F.min("c").alias("c1"), F.max("c").alias("c2")).filter("c1 <> c2").select("z", "h", "least")
+        lists = keys.groupBy("z", "h").agg(F.min("n").alias("least"), F.min("c").alias("c1"), F.max("c").alias("c2"))
+        lists = written(lists.filter("c1 <> c2").select("z", "h", "least"), "star-lists")
         partner = F.greatest(F.col("least"), F.ceil(F.col("n") * PERCENT / 100))
         keys = written(keys.join(lists, ["z", "h"]).filter((F.col("r") >= need(F.col("n"), partner)) & (~F.col("led") | (F.col("i") >= need(F.col("n"), partner)))).drop("least"), "star-keys")
     right = keys.select("z", "h", *(F.col(c).alias(f"{c}2") for c in ("id", "n", "r", "i", "d", "c", "p")))

@@ -91,6 +91,8 @@ def assign(docs: DataFrame, digests: DataFrame, state: DataFrame, seen_before: b
     hits = written(rows.join(few, "sha"), "dedup-hits")
     # repeated rows with the identifier that stays are equal in digest: one text of them is the reference
     first = hits.filter(F.col("doc_id").eqNullSafe(F.col("first_id"))).groupBy("sha").agg(F.min("body").alias("first_body"))
+    # written, so that the join's sides are plain exchanges, whose hot digests can be split
+    first = written(first, "dedup-first")
     if seen_before:
         first = first.unionByName(_earlier(shared.join(hits.select("sha"), "sha", "left_semi").join(first.select("sha"), "sha", "left_anti")))
     checked = hits.join(first, "sha").select("doc_id", "sha", "first_id", "n", (F.col("body") == F.col("first_body")).alias("same"))

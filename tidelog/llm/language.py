@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import held_out, table
+from .common import held_out, small, table, written
 
 #: At most so many rows of each language are learned from.
 SAMPLE = 250
@@ -34,6 +34,8 @@ ORDER = 3
 TABLE_BYTES = 200_000_000
 #: Bytes of text that are scored at once.
 BLOCK = 1 << 20
+#: Counts by language are broadcast up to this many languages.
+BROADCAST_LANGS = 10_000
 
 
 def folded() -> np.ndarray:
@@ -51,7 +53,7 @@ def sample(docs: DataFrame, most: int = SAMPLE) -> dict[str, list[str]]:
     counted = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
     best = Window.partitionBy("lang").orderBy("h", "id")
     # hashes are uniform: twice the wanted share is cut out first, so that ranking sees few rows
-    near = rows.join(counted, "lang").filter((F.col("n") <= 4 * most) | (F.col("h") < -(2.0**63) + 2.0**64 * 2 * most / F.col("n")))
+    near = rows.join(small(written(counted, "language-counts"), BROADCAST_LANGS), "lang").filter((F.col("n") <= 4 * most) | (F.col("h") < -(2.0**63) + 2.0**64 * 2 * most / F.col("n")))
     chosen = near.withColumn("k", F.row_number().over(best)).filter(F.col("k") <= most).select(F.col("id").alias("_id"), F.col("lang").alias("_lang")).distinct()
     picked = docs.join(F.broadcast(chosen), (docs["doc_id"] == F.col("_id")) & (docs["lang"] == F.col("_lang"))).select("_lang", "text")  # bounded: most rows a language
     out: dict[str, list[str]] = {}

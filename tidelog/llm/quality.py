@@ -80,7 +80,7 @@ def labelled(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[
     ids = labels.select(F.col("doc_id").cast("long").alias("_id"), F.col("quality").cast("int").alias("_y")).filter(F.col("_id").isNotNull() & F.col("_y").isin(0, 1) & ~held_out(F.col("_id")))
     chosen = ids.groupBy("_id").agg(F.max("_y").alias("_y")).orderBy(F.xxhash64("_id"), "_id").limit(sample)
     some = docs.join(F.broadcast(chosen), docs["doc_id"].cast("long") == chosen["_id"])  # at most sample rows of two numbers
-    rows = with_features(some, "_y").collect()
+    rows = with_features(some, "_id", "_y").dropDuplicates(["_id"]).collect()  # repeated rows count once, so the bound holds
     x = np.array([[r[f"_f_{k}"] for k in NAMES] for r in rows], dtype=float).reshape(-1, len(NAMES))
     return x, np.array([r["_y"] for r in rows], dtype=float)
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,10 +12,24 @@ SPACE_CLASS = r"[\x20\x09-\x0D]"
 WORD_CLASS = r"[^\x20\x09-\x0D]+"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table written to the shared folder: cuts lineage and outlives executors."""
+#: Rows of whole texts that a Python worker holds at once.
+TEXT_ROWS = 1_000
+
+
+def written(df: DataFrame, name: str, text_rows: int | None = None) -> DataFrame:
+    """df as a table written to the shared folder: cuts lineage and outlives executors.
+
+    text_rows: rows to an Arrow batch while it is written, where df runs Python over texts."""
     spark, path = df.sparkSession, new_path(df.sparkSession, name)
-    df.write.parquet(path)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key, None)
+    if text_rows:
+        spark.conf.set(key, str(text_rows))
+    try:
+        df.write.parquet(path)
+    finally:
+        if text_rows:
+            spark.conf.unset(key) if before is None else spark.conf.set(key, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

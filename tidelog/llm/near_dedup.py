@@ -34,7 +34,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import small, table, written
+from .common import TEXT_ROWS, small, table, written
 
 HALVES = 10
 WIDTH = 2
@@ -237,13 +237,13 @@ def leftovers(stars: DataFrame, sets: DataFrame, roots: DataFrame) -> DataFrame
 
 def near_duplicates(docs: DataFrame, k: int = 4) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of each row of docs."""
-    signed = written(signatures(docs, k), "signatures")
+    signed = written(signatures(docs, k), "signatures", TEXT_ROWS)
     heads = signed.filter("n > 0 and doc_id is not null").groupBy("n", "set_id").agg(F.min(F.struct("doc_id", "a", "b")).alias("v"))
     classes = written(heads.select(F.col("v.doc_id").alias("id"), "set_id", "v.a", "v.b"), "classes")
     pairs = written(leaders(classes), "pairs")
     wanted = pairs.select(F.col("x").alias("id")).unionByName(pairs.select(F.col("y").alias("id"))).distinct()
     needed = written(classes.select("id", "set_id").join(wanted, "id"), "needed")
-    sets = written(full_sets(docs, needed, k), "sets")
+    sets = written(full_sets(docs, needed, k), "sets", TEXT_ROWS)
     stars = written(measured(pairs, sets), "stars")
     links = stars.filter(linked()).select("x", "y")
     roots = components(links)

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import TEXT_ROWS, table, written
 from .tokens import default_path, encoder
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, task long, local_rank long"
@@ -112,7 +112,7 @@ def plan(histogram: dict[int, int], capacity: int) -> list[tuple[int, int, int,
             whole = min(many, left[size] // each)
             if whole:
                 place(size, first, whole, each, capacity - gap)
-                gaps[gap - whole_fill(each, size)].append((first, whole))
+                gaps[gap - each * size].append((first, whole))
             rest = left[size] if whole < many else 0
             if rest:
                 place(size, first + whole, 1, rest, capacity - gap)
@@ -123,13 +123,9 @@ def plan(histogram: dict[int, int], capacity: int) -> list[tuple[int, int, int,
     return rows
 
 
-def whole_fill(each: int, size: int) -> int:
-    return each * size
-
-
 def pack(spark: SparkSession, docs: DataFrame, tokenizer: str | None = None, capacity: int = 1024, end_id: int = 2) -> DataFrame:
     """One row per piece: where it goes. Bins are numbered over the whole corpus."""
-    cut = written(pieces(docs, tokenizer or default_path(), capacity, end_id), "pieces")
+    cut = written(pieces(docs, tokenizer or default_path(), capacity, end_id), "pieces", TEXT_ROWS)
     by_task = cut.groupBy("length", "task").agg(F.count(F.lit(1)).alias("n"))
     histogram = {r["length"]: r["n"] for r in by_task.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most a row a length
     rows = sorted(plan(histogram, capacity))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .operators import append, lifecycle, read
 from .schema import MESSAGES, PRODUCERS, STREAMS
-from .sources.log import read_messages, write_messages
+from .sources.log import write_messages
 
 
 class Log:
@@ -23,24 +23,26 @@ class Log:
 
     # -- states --------------------------------------------------------------------------------
 
-    def _versions(self) -> list[str]:
-        return [r[0] for r in self._table("current", "n long, version string").orderBy("n").select("version").collect()]
-
     def _table(self, name: str, schema: str) -> DataFrame:
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
         there = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
         return self.spark.read.schema(schema).parquet(f"{self.root}/{name}") if there else self.spark.createDataFrame([], schema)
 
+    def _committed(self) -> DataFrame:
+        return self._table("current", "n long, version string")
+
     def _state(self, name: str, schema: str) -> DataFrame:
-        done = self._versions()
-        return self._table(f"{name}/{done[-1]}", schema) if done else self.spark.createDataFrame([], schema)
+        last = self._committed().agg(F.max_by("version", "n")).first()[0]
+        return self._table(f"{name}/{last}", schema) if last else self.spark.createDataFrame([], schema)
 
     def _commit(self, version: str, streams: DataFrame, producers: DataFrame) -> None:
-        done = self._versions()
         streams.write.parquet(f"{self.root}/streams/{version}")
         producers.write.parquet(f"{self.root}/producers/{version}")
-        self.spark.createDataFrame([(len(done), version)], "n long, version string").coalesce(1).write.mode("append").parquet(f"{self.root}/current")
+        n = (self._committed().agg(F.max("n")).first()[0] or 0) + 1
+        self.spark.createDataFrame([(n, version)], "n long, version string").coalesce(1).write.mode("append").parquet(f"{self.root}/current")
+
+    def _store(self, version: str, messages: DataFrame) -> None:
+        write_messages(messages, f"{self.root}/messages/version={version}")
 
     def streams(self) -> DataFrame:
         return self._state("streams", STREAMS)
@@ -49,17 +51,14 @@ class Log:
         return self._state("producers", PRODUCERS)
 
     def messages(self, path: str | None = None, offset: str | None = None) -> DataFrame:
-        """Messages of committed batches of streams that exist."""
-        done = self._versions()
-        if not done:
-            return self.spark.createDataFrame([], MESSAGES)
-        parts = [f"{self.root}/messages/{v}" for v in done if not self._table(f"messages/{v}", MESSAGES).isEmpty()]
-        if not parts:
-            return self.spark.createDataFrame([], MESSAGES)
-        every = read_messages(self.spark, parts[0], path, offset)
-        for p in parts[1:]:
-            every = every.unionByName(read_messages(self.spark, p, path, offset))
-        return every.join(self.streams().select("path", F.col("created_at").alias("_since")), "path").filter("ts >= _since").drop("_since")
+        """Messages of committed batches, versions being partitions, and of streams as they are since their creation."""
+        every = self._table("messages", f"{MESSAGES}, version string")
+        if path is not None:
+            every = every.filter(F.col("path") == path)
+        if offset not in (None, "", "-1"):
+            every = every.filter(F.col("offset") > offset)
+        kept = every.join(self._committed().select("version"), "version", "left_semi").drop("version")
+        return kept.join(self.streams().select("path", F.col("created_at").alias("_since")), "path").filter("ts >= _since").drop("_since")
 
     # -- requests ------------------------------------------------------------------------------
 
@@ -74,7 +73,7 @@ class Log:
         made = lifecycle.created(out)
         stored = F.when(lifecycle.is_json(lifecycle.accepted_type("content_type")), lifecycle.canonical(F.col("body")).cast("binary")).otherwise(F.col("body"))
         first = requests.select("path", "ingest_seq", stored.alias("data"), "ts").join(out.filter("status = 'created'").select("path", "ingest_seq", F.col("next_offset").alias("offset")), ["path", "ingest_seq"])
-        write_messages(first.filter(F.octet_length("data") > 0).withColumn("nbytes", F.octet_length("data")), f"{self.root}/messages/{version}")
+        self._store(version, first.filter(F.octet_length("data") > 0).withColumn("nbytes", F.octet_length("data")))
         kept = alive.join(made.select("path"), "path", "left_anti")
         gone = known.select("path").join(kept.select("path"), "path", "left_anti")
         self._commit(version, kept.unionByName(made), self.producers().join(gone, "path", "left_anti"))
@@ -87,7 +86,7 @@ class Log:
         out = self.spark.read.parquet(f"{self.root}/outcomes/{version}")
         asked = requests.select("path", "ingest_seq", "ts", "stream_seq", "producer_id", F.col("producer_epoch").try_cast("long").alias("epoch"), F.col("producer_seq").try_cast("long").alias("seq"), F.octet_length("body").alias("size"))
         done = out.filter("status = 'accepted'").join(asked, ["path", "ingest_seq"])
-        write_messages(append.messages_of(out).join(asked.select("path", "ingest_seq", "ts"), ["path", "ingest_seq"]), f"{self.root}/messages/{version}")
+        self._store(version, append.messages_of(out).join(asked.select("path", "ingest_seq", "ts"), ["path", "ingest_seq"]))
 
         spoken = done.filter("producer_id is not null").groupBy("path", "producer_id").agg(F.max_by(F.struct("epoch", F.col("seq").alias("last_seq"), F.col("ts").alias("last_updated")), "ingest_seq").alias("s")).select("path", "producer_id", "s.*")
         old = producers.join(spoken.select("path", "producer_id"), ["path", "producer_id"], "left_anti")

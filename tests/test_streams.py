@@ -90,3 +90,13 @@ def test_follow_ends_with_closure(spark, log):
 def test_log_filters_reach_the_scan(spark, log):
     plan = read_messages(spark, log, "3", "0000000000000000_0000000000000100").select("offset")._jdf.queryExecution().toString()
     assert "EqualTo(path,3)" in plan and "GreaterThan(offset," in plan
+
+
+def test_scratch_is_cleared(spark):
+    from tidelog.sources import scratch
+
+    path = new_path(spark, "some")
+    spark.range(3).write.parquet(path)
+    scratch.clear(spark)
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        spark.read.parquet(path)

@@ -22,5 +22,22 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
+#: What this process has named so far.
+_NAMED: list[str] = []
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A place in the shared folder that nothing else has."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _NAMED.append(path)
+    return path
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes what new_path has named: for when results that read it are written."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    while _NAMED:
+        path = _NAMED.pop()
+        for suffix in ("", "-landing", "-content"):
+            target = jvm.org.apache.hadoop.fs.Path(path + suffix)
+            target.getFileSystem(conf).delete(target, True)

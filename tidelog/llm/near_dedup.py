@@ -159,7 +159,7 @@ def components(edges: DataFrame) -> DataFrame:
             return edges.select(F.col("x").alias("id"), F.col("y").alias("root"))
         before = state
         both = edges.unionByName(edges.select(F.col("y").alias("x"), F.col("x").alias("y")))
-        least = both.groupBy("x").agg(F.least(F.min("y"), F.first("x")).alias("m"))
+        least = written(both.groupBy("x").agg(F.least(F.min("y"), F.first("x")).alias("m")), "links-least")
         large = both.join(least, "x").filter("y > x").select(F.col("y").alias("x"), F.col("m").alias("y"))
         large = large.filter("x <> y").distinct()
         low = large.groupBy("x").agg(F.min("y").alias("m"))
@@ -188,12 +188,13 @@ def leaders(classes: DataFrame) -> DataFrame:
     """Distinct (x, y): class x shares a bucket that y leads."""
     keys = F.flatten(F.transform("a", lambda u, i: F.transform("b", lambda v, j: F.xxhash64(i, j, u, v))))
     rows = classes.select("id", F.explode(keys).alias("key"))
-    sized = rows.withColumn("m", F.count(F.lit(1)).over(Window.partitionBy("key"))).filter("m > 1")
-    hits = written(sized, "bucket-rows")
+    # sizes are summed before the shuffle and joined from a written table, so that a hot bucket is split, not one task
+    sizes = written(rows.groupBy("key").agg(F.count(F.lit(1)).alias("m")).filter("m > 1"), "bucket-sizes")
+    hits = written(rows.join(sizes, "key"), "bucket-rows")
     degree = written(hits.groupBy("id").agg(F.sum("m").alias("degree")), "degrees")
     ranked = hits.select("id", "key").join(small(degree, BROADCAST_IDS), "id")
-    lead = F.max(F.struct("degree", (-F.col("id")).alias("id"))).over(Window.partitionBy("key"))
-    return ranked.select(F.col("id").alias("x"), (-lead["id"]).alias("y")).filter("x <> y").distinct()
+    lead = written(ranked.groupBy("key").agg(F.max(F.struct("degree", (-F.col("id")).alias("id"))).alias("lead")).select("key", (-F.col("lead.id")).alias("y")), "bucket-leaders")
+    return hits.select(F.col("id").alias("x"), "key").join(lead, "key").select("x", "y").filter("x <> y").distinct()
 
 
 def leftovers(stars: DataFrame, sets: DataFrame, roots: DataFrame) -> DataFrame | None:

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pytest
 from oracle import assert_same, duck
 from pyspark.sql import functions as F
+from test_dedup import near_brute
 
 import corpus_pipeline
-from tidelog.llm import mixing, topk
+from tidelog.llm import mixing, quality, topk
 from tidelog.llm.queries import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -95,9 +98,18 @@ def test_pipeline(spark):
         assert kept.columns == d.columns, name
         rows = {r.doc_id: r for r in kept.collect()}
         assert rows.keys() <= before and all(rows[i] == texts[i] for i in rows), name
+        if name == "quality classifier":
+            scored = quality.scored(d, spark.read.parquet(f"{SF}/labels.parquet")).collect()
+            assert rows.keys() == {r.doc_id for r in scored if r.predicted}
         if name == "exact dedup":
-            norm = [" ".join(r.text.split()) for r in rows.values()]
-            assert len(set(norm)) == len(norm)
+            norm = {i: re.sub(r"[\x20\x09-\x0d]+", " ", texts[i].text) for i in before}
+            assert rows.keys() == {min(j for j in norm if norm[j] == norm[i]) for i in norm}
+        if name == "near-dedup":
+            brute = near_brute([(i, texts[i].text) for i in before], 5)
+            assert rows.keys() == {i for i, (_, root) in brute.items() if i == root}
+        if name == "mixing":
+            words = {i: len(re.findall(r"[^\x20\x09-\x0d]+", texts[i].text)) for i in before}
+            assert sum(words[i] for i in rows) <= corpus_pipeline.MIX_PART * sum(words.values())
         kept = spark.createDataFrame(list(rows.values()), d.schema)
     out = corpus_pipeline.run(spark, SF).toPandas()
     assert set(out.doc_id) == set(rows)

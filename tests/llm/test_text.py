@@ -114,6 +114,28 @@ def test_entropy_windows():
     assert counts.entropy() == pytest.approx(-sum(x * np.log2(x) for x in p))
 
 
+ALPHABETS = {
+    "base62": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/",
+    "base64url": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_", "base36": "abcdefghijklmnopqrstuvwxyz0123456789", "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "HEX": "0123456789ABCDEF",
+}
+
+
+@pytest.mark.parametrize("alphabet", ALPHABETS)
+@pytest.mark.parametrize("n", [16, 20, 24, 32, 40, 64])
+def test_entropy_finds_random_keys(alphabet, n):
+    dice = random.Random(n)
+    keys = ["".join(dice.choices(ALPHABETS[alphabet], k=n)) for _ in range(1000)]
+    found = sum(bool(secrets.added_spans(f"see {k} here", [])) for k in keys)
+    letters = 1000 * (26 / 32) ** n if alphabet == "base32" else 0  # keys of letters of one case alone
+    assert found >= 970 - 2 * letters and (n < 24 or found >= 985 - 2 * letters)
+
+
+def test_entropy_leaves_words_and_numbers():
+    calm = "InternationalizationOfDocuments getUserAccountSettingsById some_long_variable_name_2 release-notes-for-version-2024-01-15 openstreetmap2023release ORDER-2024-000123-GERMANY XMLHttpRequestFactoryBuilder 20240115T120000Z-20240116 backup_2023-11-05_full_archive1 src/main/java/Application2Test"
+    for s in calm.split():
+        assert secrets.added_spans(f"see {s} here", []) == [], s
+
+
 def test_language_is_right_on_held_out_rows(spark):
     d = spark.read.parquet(f"{SF}/documents.parquet")
     rows = language.identify(d.selectExpr("*", "1 as letter", "2 as score")).join(d.select("doc_id", "lang"), "doc_id").filter(held_out(F.col("doc_id"))).collect()

@@ -1,12 +1,15 @@
 """Secrets in texts: base patterns, and candidate strings whose sliding-window entropy is high.
 
-A candidate is a run of letters, digits and `+/_=-` of at least `window` characters that no base
-match covers. Its characters fall into classes (lower, upper, digit, symbol); a window slides over it,
-and counts per character and per class are kept incrementally, with n*log2(n) terms updated for the
-one character that comes and the one that goes. A window is suspicious where the Shannon entropy of
-its characters, overall and within each class that it mixes, reaches the thresholds. The union of
-overlapping suspicious windows is the added span, unless the allow-list (dictionary-like words,
-UUIDs, paths and addresses, repeated units) suppresses it. Base matches always stay.
+A candidate is a run of letters, digits and `+/_=-` of at least `SHORTEST` characters that no base
+match covers. Its characters fall into classes (lower, upper, digit, symbol); a window (all of a shorter
+candidate) slides over it, and counts per character and per class are kept incrementally, with n*log2(n)
+terms updated for the one character that comes and the one that goes. A window is suspicious where it
+mixes two of lower, upper and digit, at least half of it lies outside word-like runs, numbers and separators, and
+the Shannon entropy of its characters, overall and within each class, reaches its floor: what as many
+characters drawn at random from the window's alphabet (that of its classes, or the 16 hex digits) fall
+short of with a chance of `TAIL`. The union of overlapping suspicious windows is the added span,
+unless the allow-list (single words, numbers, UUIDs, paths and addresses, repeated units) suppresses it.
+Random letters of one case alone look like a word and are no candidates. Base matches always stay.
 
 Offsets are code points, end exclusive. Defined results: null and empty texts have no spans; repeated
 rows give repeated results; an empty table gives no rows; other columns don't matter.
@@ -17,7 +20,9 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -29,21 +34,34 @@ KINDS = ("assign", "access", "hex")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 HEX = re.compile(r"[0-9a-f]{16,}")  # runs are maximal, so shorter ones can be left out at once
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+SHORTEST = 16
+CANDIDATE = re.compile(rf"[A-Za-z0-9+/_=-]{{{SHORTEST},}}")
 
 # What looks random and isn't secret.
 ALLOW = [
     re.compile(r"[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}", re.IGNORECASE),
-    re.compile(r"[A-Za-z]+"),
+    re.compile(r"[A-Z]?[a-z]+|[A-Z]+"),
     re.compile(r"[0-9]+"),
-    re.compile(r"(?:[A-Za-z]+[-_/=+])+[A-Za-z]*[0-9]{0,4}"),
+    re.compile(r"(?:(?:[A-Z]?[a-z]+|[A-Z]+)[-_/=+])+(?:[A-Z]?[a-z]+|[A-Z]+)?[0-9]{0,4}"),
     re.compile(r"[-_=+/]+"),
     re.compile(r"(.{1,8})\1{2,}.{0,8}"),
     re.compile(r"(?:https?/|www|sha[0-9]+-|data/|image/).*"),
 ]
 WINDOW = 20
-OVERALL = 3.7
-WITHIN = {"lower": 1.5, "upper": 1.5, "digit": 1.2}
+#: Chance that a random window falls short of one entropy floor.
+TAIL = 0.001
+SYMBOLS = {"lower": 26, "upper": 26, "digit": 10, "symbol": 2}
+HEX_DIGITS = frozenset("0123456789abcdefABCDEF")
+
+# Numbers set off by separators, runs of letters that may be words, and the letters that follow each letter in words of European languages.
+NUMBER = re.compile(r"(?<![A-Za-z0-9])[0-9]+(?![A-Za-z0-9])")
+RUN = re.compile(r"[A-Z]?[a-z]{2,}|[A-Z]{3,}(?![a-z])")
+FOLLOW = {
+    "a": "bcdefghiklmnprstuvxyz", "b": "abeilorstuy", "c": "acehiklortuy", "d": "adeilorsuy", "e": "abcdefghilmnopqrstuvwxy", "f": "aefilortuy", "g": "aeghilnorstuy",
+    "h": "aeilnortuy", "i": "abcdefgklmnopqrstvz", "j": "aeou", "k": "aeilnorsty", "l": "abdefgiklmopstuvy", "m": "abeimnopsuy", "n": "acdefgiklnostuvyz",
+    "o": "abcdefghiklmnoprstuvwxy", "p": "aehiloprstuy", "q": "u", "r": "abcdefgiklmnoprstuvwyz", "s": "aceghiklmnopqstuwyz", "t": "acehilorstuwyz",
+    "u": "abcdefgiklmnprstxz", "v": "aeiou", "w": "aehilnors", "x": "aceiptu", "y": "aceilmnoprst", "z": "aeiotuyz",
+}
 
 
 def class_of(c: str) -> str:
@@ -72,18 +90,68 @@ class Counts:
         return math.log2(n) - self.weight[k] / n if n > 1 else 0.0
 
 
-def suspicious(s: str, window: int = WINDOW, overall: float = OVERALL, within: dict[str, float] = WITHIN) -> list[tuple[int, int]]:
-    """Unions of overlapping windows of s that look random: mixed classes, each with entropy of its own."""
+def partitions(n: int, most: int) -> Iterator[tuple[int, ...]]:
+    """Ways to write n as a sum of positive numbers of at most so much, largest first."""
+    if n == 0:
+        yield ()
+    for c in range(min(n, most), 0, -1):
+        for rest in partitions(n - c, c):
+            yield (c, *rest)
+
+
+@lru_cache(maxsize=4096)
+def floor_of(n: int, symbols: int) -> float:
+    """The entropy that n characters drawn evenly from so many symbols fall short of with a chance of TAIL at most (exact)."""
+    chances = []
+    for part in partitions(n, n):
+        if len(part) <= symbols:
+            ways = math.factorial(n) * math.perm(symbols, len(part))
+            for x in (*part, *Counter(part).values()):
+                ways //= math.factorial(x)
+            chances.append((math.log2(n) - sum(c * math.log2(c) for c in part) / n, ways / symbols**n))
+    below = 0.0
+    for entropy, chance in sorted(chances):
+        if below + chance > TAIL:
+            return entropy - 1e-9
+        below += chance
+    return 0.0
+
+
+def loose(s: str) -> list[int]:
+    """For each length of a prefix of s, its letters and digits outside numbers and word-like runs: those with one unusual pair of letters in eight at most."""
+    free = [c.isalnum() for c in s]
+    for m in NUMBER.finditer(s):
+        free[m.start() : m.end()] = [False] * (m.end() - m.start())
+    for m in RUN.finditer(s):
+        w = m.group().lower()
+        if len(w) > 2 and sum(b not in FOLLOW[a] for a, b in zip(w, w[1:])) <= len(w) // 8:
+            free[m.start() : m.end()] = [False] * len(w)
+    out = [0]
+    for x in free:
+        out.append(out[-1] + x)
+    return out
+
+
+def suspicious(s: str, window: int = WINDOW) -> list[tuple[int, int]]:
+    """Unions of overlapping windows of s that look random: mixed classes, with the entropy of random strings overall and in each."""
     found: list[tuple[int, int]] = []
-    counts = Counts()
+    counts, free, foreign = Counts(), loose(s), 0
+    window = min(window, len(s))
     for i, c in enumerate(s):
         counts.change(c, 1)
+        foreign += c not in HEX_DIGITS
         if i >= window:
             counts.change(s[i - window], -1)
-        if i + 1 < window or counts.entropy() < overall:
+            foreign -= s[i - window] not in HEX_DIGITS
+        if i + 1 < window or 2 * (free[i + 1] - free[i + 1 - window]) < window:
             continue
-        mixed = [k for k in within if counts.total[k] >= 3]
-        if "digit" not in mixed or len(mixed) < 2 or any(counts.entropy(k) < within[k] for k in mixed):
+        total = counts.total
+        mixed = [k for k in ("lower", "upper", "digit") if total[k]]
+        if len(mixed) < 2:
+            continue
+        symbols = {k: SYMBOLS[k] if foreign or k == "digit" else 6 for k in mixed}
+        alphabet = sum(symbols.values()) + (SYMBOLS["symbol"] if total["symbol"] else 0) if foreign else 16
+        if counts.entropy() < floor_of(window, alphabet) or any(counts.entropy(k) < floor_of(total[k], symbols[k]) for k in mixed):
             continue
         start = i + 1 - window
         if found and start <= found[-1][1]:

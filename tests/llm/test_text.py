@@ -169,6 +169,37 @@ def test_language_code_lengths():
     assert trees.code_lengths(text.encode()) == pytest.approx(by_hand, rel=1e-5)
 
 
+def test_language_order_holds_for_many_languages_and_symbols():
+    dice = random.Random(9)
+    letters = [chr(c) for c in (*range(97, 123), *range(0xC0, 0x100), *range(0x410, 0x450), *range(0x4E00, 0x4E40))]
+    texts = {f"l{i:02}": ["".join(dice.choices(dice.sample(letters, 12), k=300)) for _ in range(3)] for i in range(20)}
+    trees = language.Trees(texts)
+    assert trees.order == language.ORDER and trees.size > 90
+    text = texts["l03"][0][:60] + "new words " + texts["l17"][0][:20]
+    symbols = [0] * 3 + [int(trees.symbol[b]) for b in text.encode()]
+    want = []
+    for own in texts.values():
+        after = {}
+        for t in own:
+            s = [0] * 3 + [int(trees.symbol[b]) for b in t.encode()]
+            for at in range(3, len(s)):
+                for k in range(4):
+                    after.setdefault(tuple(s[at - k : at]), Counter())[s[at]] += 1
+        total = 0.0
+        for at in range(3, len(symbols)):
+            for k in (3, 2, 1, 0):
+                seen = after.get(tuple(symbols[at - k : at]), Counter())
+                n, d = sum(seen.values()), len(seen)
+                if seen[symbols[at]]:
+                    total += np.log2((n + d) / seen[symbols[at]])
+                    break
+                total += np.log2((n + d) / d) if d else 0
+            else:
+                total += np.log2(trees.size)
+        want.append(total)
+    assert trees.code_lengths(text.encode()) == pytest.approx(want, rel=1e-5)
+
+
 def test_language_edges(spark, monkeypatch):
     rows = [(1, None, "en"), (2, "", "en"), (3, "123 ?!", "de"), (4, "the house", None)]
     d = spark.createDataFrame(rows, "doc_id long, text string, lang string")

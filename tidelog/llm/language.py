@@ -6,11 +6,13 @@ For each language, a context tree over the folded bytes of a bounded training sa
 with c occurrences of the byte among n after the longest context in which it occurs, and d distinct
 bytes there, it costs log2((n + d) / c) bits, plus log2((n + d) / d) bits for each escape from a longer
 context of which the tree knows something. A text's code length is the sum over all its bytes, and
-the language with the shortest wins. Code lengths of all symbol sequences are laid out as one table
-(sequence by language), so scoring is one lookup a byte.
+the language with the shortest wins. Languages are taken `SLICE` at a time: the symbol sequences that any
+of a slice's trees knows are rows of a hashed table (sequence by language) of code lengths, so scoring is
+one lookup a byte and slice, and further ones, by escapes, only for sequences that none of them knows.
+Tables grow with what the trees hold, so the order is `ORDER` for every alphabet and number of languages.
 
 Folding: A-Z to a-z, digits to one symbol, white space to one symbol, bytes that no training text has to
-one "other" symbol. The order is lowered where the table would exceed `TABLE_BYTES`.
+one "other" symbol.
 
 Defined results: null texts and texts without a letter are `und` with score 0; ties go to the language
 whose code sorts first; with nothing to learn from, all are `und`; repeated rows are predicted each; an
@@ -33,7 +35,8 @@ SAMPLE = 250
 #: Longer texts aren't learned from; they are predicted whole like any other.
 SAMPLE_CHARS = 100_000
 ORDER = 3
-TABLE_BYTES = 200_000_000
+#: Languages that share a table.
+SLICE = 8
 #: Bytes of text that are scored at once.
 BLOCK = 1 << 20
 #: Counts by language are broadcast up to this many languages.
@@ -74,8 +77,39 @@ def sequences(symbols: np.ndarray, size: int, order: int) -> np.ndarray:
     return code
 
 
+class Rows:
+    """Numbers of sorted distinct codes, by open addressing."""
+
+    def __init__(self, codes: np.ndarray) -> None:
+        self.bits = max(1, int(4 * len(codes)).bit_length())
+        self.codes = np.append(codes, -1)  # the last stands for an empty slot
+        self.slots = np.full(1 << self.bits, len(codes), dtype=np.int32)
+        left, at = np.arange(len(codes)), self.place(codes)
+        while len(left):
+            free = self.slots[at] == len(codes)
+            self.slots[at[free]] = left[free]
+            lost = self.slots[at] != left
+            left, at = left[lost], (at[lost] + 1) & (len(self.slots) - 1)
+
+    def place(self, codes: np.ndarray) -> np.ndarray:
+        return ((codes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def find(self, codes: np.ndarray) -> np.ndarray:
+        """Each code's number; that of all codes where it isn't among them."""
+        at = self.place(codes)
+        out = self.slots[at]
+        known = self.codes[out]
+        left = np.flatnonzero((known != codes) & (known >= 0))
+        while len(left):
+            at[left] = (at[left] + 1) & (len(self.slots) - 1)
+            out[left] = self.slots[at[left]]
+            known = self.codes[out[left]]
+            left = left[(known != codes[left]) & (known >= 0)]
+        return out
+
+
 class Trees:
-    """Counts of each language's context tree, kept sparsely; expanded into the table of code lengths in each worker."""
+    """Counts of each language's context tree, kept sparsely; laid out as tables of code lengths in each worker."""
 
     def __init__(self, texts: dict[str, list[str]], order: int = ORDER) -> None:
         fold = folded()
@@ -87,45 +121,64 @@ class Trees:
         self.symbol = number[fold]
         self.size = len(seen) + 1
         self.order = order
-        while self.order and self.size ** (self.order + 1) * 4 * max(1, len(texts)) > TABLE_BYTES:
-            self.order -= 1
         self.counts = []
         for v in raw.values():
             lists = [sequences(np.concatenate((np.zeros(self.order, dtype=np.int64), number[x])), self.size, self.order) for x in v]
             self.counts.append(np.unique(np.concatenate(lists or [np.zeros(0, dtype=np.int64)]), return_counts=True))
-        self._table = None
-
-    def table(self) -> np.ndarray:
-        """Bits by (sequence, language)."""
-        if self._table is None:
-            out = np.zeros((self.size ** (self.order + 1), len(self.langs)), dtype=np.float32)
-            for j, (codes, counts) in enumerate(self.counts):
-                out[:, j] = self.lengths(codes, counts)
-            self._table = out
-        return self._table
-
-    def lengths(self, codes: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        bits = np.full(self.size, np.log2(self.size), dtype=np.float32)  # below order 0: all alike
+        self._slices = None
+
+    def slices(self) -> list[list[tuple[Rows, np.ndarray, Rows, np.ndarray]]]:
+        """Of each slice of the languages and each order: known sequences with their bits, known contexts with their escapes."""
+        if self._slices is None:
+            self._slices = [self.levels(self.counts[j : j + SLICE]) for j in range(0, len(self.counts), SLICE)]
+        return self._slices
+
+    def levels(self, trees: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[Rows, np.ndarray, Rows, np.ndarray]]:
+        out: list[tuple[Rows, np.ndarray, Rows, np.ndarray]] = []
+        shorter = None
         for k in range(self.order + 1):
-            dense = np.bincount(codes % self.size ** (k + 1), counts, self.size ** (k + 1)).astype(np.float32).reshape(-1, self.size)
-            n, d = dense.sum(axis=1, keepdims=True), (dense > 0).sum(axis=1, keepdims=True)
-            with np.errstate(divide="ignore", invalid="ignore"):
-                own = np.log2((n + d) / dense)
-                escape = np.where(n > 0, np.log2((n + d) / np.maximum(d, 1)), 0)
-            shorter = np.broadcast_to(bits.reshape(1, -1, self.size), (self.size if k else 1, bits.size // self.size, self.size)).reshape(-1, self.size)
-            bits = np.where(dense > 0, own, escape + shorter).astype(np.float32).reshape(-1)
-        return bits
+            every = np.unique(np.concatenate([codes for codes, _ in trees]) % self.size ** (k + 1))
+            contexts = np.unique(every // self.size)
+            bits, escapes = np.empty((len(every), len(trees)), dtype=np.float32), np.zeros((len(contexts) + 1, len(trees)), dtype=np.float32)
+            for j, (codes, counts) in enumerate(trees):
+                own, where = np.unique(codes % self.size ** (k + 1), return_inverse=True)
+                c = np.bincount(where, counts, len(own))
+                context, place = np.unique(own // self.size, return_inverse=True)
+                n, d = np.bincount(place, c, len(context)), np.bincount(place, minlength=len(context))
+                escapes[np.searchsorted(contexts, context), j] = np.log2((n + d) / np.maximum(d, 1))
+                below = np.log2(self.size) if shorter is None else shorter[1][shorter[0].find(every % self.size**k), j]
+                bits[:, j] = escapes[np.searchsorted(contexts, every // self.size), j] + below
+                bits[np.searchsorted(every, own), j] = np.log2((n[place] + d[place]) / c)
+            shorter = (Rows(every), bits)
+            out.append((*shorter, Rows(contexts), escapes))
+        return out
 
     def code_lengths(self, raw: bytes) -> np.ndarray:
         """Bits of a text in each language: every byte counts."""
-        lengths, total = self.table(), np.zeros(len(self.langs))
+        total = np.zeros(len(self.langs))
         for at in range(0, len(raw), BLOCK):
             before = raw[max(0, at - self.order) : at]
             own = self.symbol[np.frombuffer(before + raw[at : at + BLOCK], dtype=np.uint8)]
             own = np.concatenate((np.zeros(self.order - len(before), dtype=np.int64), own))
-            total += lengths[sequences(own, self.size, self.order)].sum(axis=0, dtype=np.float64)
+            codes = sequences(own, self.size, self.order)
+            for i, levels in enumerate(self.slices()):
+                total[i * SLICE : (i + 1) * SLICE] += self.bits_of(codes, levels)
         return total
 
+    def bits_of(self, codes: np.ndarray, levels: list[tuple[Rows, np.ndarray, Rows, np.ndarray]]) -> np.ndarray:
+        total = np.zeros(levels[0][1].shape[1])
+        for k in range(self.order, -1, -1):
+            known, bits, contexts, escapes = levels[k]
+            row = known.find(codes)
+            new = row == len(bits)
+            total += bits[row[~new]].sum(axis=0, dtype=np.float64)
+            codes = codes[new]
+            if not len(codes):
+                return total
+            total += escapes[contexts.find(codes // self.size)].sum(axis=0, dtype=np.float64)
+            codes = codes % self.size**k
+        return total + len(codes) * np.log2(self.size)
+
 
 def predicted(trees: Trees, text: str) -> tuple[str, float]:
     """The language and its share of the posterior, by code lengths a byte times a fixed number of bytes."""

@@ -67,6 +67,19 @@ def test_pii_adds_what_it_is_sure_of(spark):
     assert not rows[41].added_phone
 
 
+@pytest.mark.parametrize("times", [1, 50])
+@pytest.mark.parametrize("scaled", [False, True])
+def test_pii_additions_hold_at_any_size(spark, times, scaled):
+    base = ["call +1 499 555 6503 or write to mail jane@mail.com"] * 10 + ["it is +44 20 7946 0958 and jane@mail.org"] * 150
+    loose = ["phone: 499-555-6503 today", "mail jane (at) mail (dot) com"] * 5
+    texts = base * times + loose * (times if scaled else 1) + ["version 499-555-6503"]
+    rows = pii.find_pii(spark, docs(spark, texts)).filter(F.col("doc_id") >= len(base) * times).collect()
+    for r in rows:
+        text = texts[r.doc_id]
+        want = ["499-555-6503"] if "phone" in text else ["jane (at) mail (dot) com"] if "mail" in text else []
+        assert [text[x.s : x.e] for x in [*r.added_phone, *r.added_email]] == want, text
+
+
 def test_pii_reliabilities():
     good = {"kind": "phone", "form": 1, "check": 1, "gazetteer": 1, "context": 1, "against": 0, "shape": 2}
     bad = {"kind": "phone", "form": -1, "check": -1, "gazetteer": 0, "context": 0, "against": -1, "shape": 1}

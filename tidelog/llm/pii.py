@@ -40,6 +40,10 @@ LOOSE = {
 HINT = {"email": "@", "ip": ".", "card": None, "phone": "+"}
 VOTES = ("form", "check", "gazetteer", "context", "against")
 SURE = 0.95
+#: Votes of a labeler to each prior count of its reliability.
+ANCHOR = 50
+#: Share of what isn't personal data that passes the check all the same, at least: one number in ten has a sound check digit.
+CHANCE = {"card": 0.1}
 
 # Words and prefixes of the gazetteers and context labelers.
 TLDS = ["com", "org", "net", "edu", "gov", "io", "de", "fr", "es", "uk", "eu", "info", "co", "us", "it", "nl", "ch", "at", "biz", "dev"]
@@ -123,25 +127,32 @@ def patterns(found: DataFrame) -> list[dict]:
 def reliabilities(rows: list[dict], rounds: int = 40) -> tuple[dict, list[float]]:
     """Expectation-maximisation of a two-class model with abstaining labelers, per kind.
 
-    Returns P(vote | class) with add-one smoothing, and each pattern's posterior of being personal data."""
+    Returns P(vote | class, not abstained), smoothed by prior counts that grow with the labeler's votes, and
+    each pattern's posterior of being personal data. Abstentions are no evidence. The share of the classes is
+    that of base candidates and says nothing of looser ones (where the form labeler abstains): their odds start even."""
     post = [min(0.95, max(0.05, 0.5 + 0.2 * sum(r[j] for j in VOTES))) for r in rows]
     model: dict = {}
     for _ in range(rounds):
         model = {}
         for k in KINDS:
             own = [(r, p) for r, p in zip(rows, post) if r["kind"] == k]
-            mass = {c: sum(r["n"] * (p if c else 1 - p) for r, p in own) for c in (0, 1)}
-            model[k] = {"prior": (mass[1] + 1) / (mass[0] + mass[1] + 2)}
+            base = {c: sum(r["n"] * (p if c else 1 - p) for r, p in own if r["form"]) for c in (0, 1)}
+            anchor = max(1.0, (base[0] + base[1]) / ANCHOR)
+            model[k] = {"prior": (base[1] + anchor) / (base[0] + base[1] + 2 * anchor)}
             for j in VOTES:
+                anchor = max(1.0, sum(r["n"] for r, _ in own if r[j]) / ANCHOR)
                 for c in (0, 1):
-                    for v in (-1, 0, 1):
+                    mass = sum(r["n"] * (p if c else 1 - p) for r, p in own if r[j])
+                    for v in (-1, 1):
                         # a prior count keeps labelers better than chance, so that the classes can't change places
-                        lean = 2.0 if v == (1 if c else -1) else 1.0
-                        model[k][j, c, v] = (sum(r["n"] * (p if c else 1 - p) for r, p in own if r[j] == v) + lean) / (mass[c] + 4.0)
+                        lean = 3.0 if v == (1 if c else -1) else 1.0
+                        model[k][j, c, v] = (sum(r["n"] * (p if c else 1 - p) for r, p in own if r[j] == v) + lean * anchor) / (mass + 4 * anchor)
+            by_chance = max(CHANCE.get(k, 0.0), model[k]["check", 0, 1])
+            model[k] |= {("check", 0, 1): by_chance, ("check", 0, -1): 1 - by_chance}
         post = []
         for r in rows:
             m = model[r["kind"]]
-            log = math.log(m["prior"] / (1 - m["prior"])) + sum(math.log(m[j, 1, r[j]] / m[j, 0, r[j]]) for j in VOTES)
+            log = (math.log(m["prior"] / (1 - m["prior"])) if r["form"] else 0.0) + sum(math.log(m[j, 1, r[j]] / m[j, 0, r[j]]) for j in VOTES if r[j])
             post.append(1 / (1 + math.exp(-max(-30.0, min(30.0, log)))))
     return model, post
 
@@ -151,14 +162,16 @@ def inputs(kind: str, r: dict) -> list[str]:
 
 
 def span_classifier(rows: list[dict], post: list[float], steps: int = 400, ridge: float = 1e-3) -> dict[str, float]:
-    """Weights of a logistic model over votes and shape, fitted to the posteriors."""
+    """Weights of a logistic model over votes and shape, fitted to the posteriors.
+
+    Each pattern counts alike within its kind: rare ones, as looser candidates are, at any size of the table."""
     weights: dict[str, float] = {}
-    total = sum(math.sqrt(r["n"]) for r in rows) or 1.0
+    total = {k: sum(r["kind"] == k for r in rows) for k in KINDS}
     for _ in range(steps):
         slope: dict[str, float] = {}
         for r, p in zip(rows, post):
             names = inputs(r["kind"], r)
-            off = (p - 1 / (1 + math.exp(-sum(weights.get(x, 0.0) for x in names)))) * math.sqrt(r["n"]) / total
+            off = (p - 1 / (1 + math.exp(-sum(weights.get(x, 0.0) for x in names)))) / total[r["kind"]]
             for x in names:
                 slope[x] = slope.get(x, 0.0) + off
         for x, g in slope.items():

@@ -67,6 +67,16 @@ def test_pii_adds_what_it_is_sure_of(spark):
     assert not rows[41].added_phone
 
 
+def test_pii_adds_cards_and_addresses_beyond_base(spark):
+    card = "4111 1111 1111 1111"
+    texts = [f"card {card}, from host 10.0.0.1"] * 20 + ["num 12345 of 2024", "from 256.1.1.1 or 1.2.3.999"] * 10
+    texts += ["amex card 378282246310005 used", "card 378282246310006", "login from 2001:db8::1:2f, ok", "host fe80:0:0:0:1:2:3:4e", "server 10[.]0[.]0[.]7 down", "host 10[.]0[.]0[.]777", "at 12:30:45 mac 00:1a:2b:3c:4d:5e and a::b::c std::max", "order 123456789012345"]
+    rows = pii.find_pii(spark, docs(spark, texts)).collect()
+    got = {r.doc_id: [texts[r.doc_id][x.s : x.e] for k in pii.KINDS for x in r[f"added_{k}"]] for r in rows}
+    assert all(not got[i] for i in range(40))
+    assert [got[i] for i in range(40, 48)] == [["378282246310005"], [], ["2001:db8::1:2f"], ["fe80:0:0:0:1:2:3:4e"], ["10[.]0[.]0[.]7"], [], [], []]
+
+
 @pytest.mark.parametrize("times", [1, 50])
 @pytest.mark.parametrize("scaled", [False, True])
 def test_pii_additions_hold_at_any_size(spark, times, scaled):

@@ -1,13 +1,15 @@
 """Personal data by weak supervision, in DataFrame operations only.
 
-Candidates are the base matches of four kinds (email, ip, card, phone) and looser forms of them.
+Candidates are the base matches of four kinds (email, ip, card, phone) and looser forms of them:
+addresses spelled with "at" and "dot", IPv6 and IPv4 with bracketed dots, cards of 13 to 15 digits,
+telephone numbers without a country code.
 Three sorts of labelers vote 1, -1 or 0 (abstain) on each candidate: regex and checksum rules,
 gazetteers (top-level domains, issuer prefixes, country codes, reserved networks) and context words
 before the match. The votes of the whole table are counted by pattern, at most
 `4 kinds * 3^5 votes * 4 shapes` rows, so that table alone reaches the driver. Expectation-maximisation
 over it estimates each labeler's reliability per kind; its posteriors train a logistic span
 classifier over votes and shape, which is compiled into one Column expression. Base matches stay
-whatever the classifier says; looser candidates are added where it is sure.
+whatever the classifier says; looser candidates are added where it is sure and their check doesn't fail.
 
 Offsets are code points, end exclusive. Defined results: null and empty texts have no spans; repeated
 rows give repeated results; an empty table gives no rows and the classifier falls back on its prior;
@@ -32,10 +34,15 @@ BASE = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 #: Looser forms, which only the classifier can turn into spans.
+HEX = "[0-9A-Fa-f]{1,4}"
 LOOSE = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+\x20?[\[(]at[\])]\x20?[A-Za-z0-9-]{1,63}+(?:\x20?[\[(]dot[\])]\x20?[A-Za-z0-9-]{1,63}+)++",
+    "ip": rf"(?<![0-9A-Za-z:._])(?=:{{0,2}}[0-9A-Fa-f])(?:(?:{HEX}:){{7}}{HEX}|(?:{HEX}(?::{HEX}){{0,6}})?::(?:{HEX}(?::{HEX}){{0,6}})?)(?!:?[0-9A-Za-z]|::|\.[0-9])"
+    r"|(?<![0-9.])[0-9]{1,3}(?:\x20?(?:\[\.\]|\(\.\)|[\[(]dot[\])])\x20?[0-9]{1,3}){3}(?![0-9])",
     "phone": r"(?<![0-9A-Za-z+.()-])(?<![0-9+)]\x20)\(?[0-9]{3}\)?[\x20.-][0-9]{3}[.-][0-9]{4}(?![0-9A-Za-z-])",
 }
+#: Failing base matches whose digits are so many as their issuer's cards have (15, 14, 13) count as looser forms.
+LOOSE_CARD = r"^(3[47][0-9]{13}|(2131|1800)[0-9]{11}|3(0[0-5]|[689])[0-9]{11}|4[0-9]{12})$"
 #: A cheap test that any match of the kind passes.
 HINT = {"email": "@", "ip": ".", "card": None, "phone": "+"}
 VOTES = ("form", "check", "gazetteer", "context", "against")
@@ -47,9 +54,9 @@ CHANCE = {"card": 0.1}
 
 # Words and prefixes of the gazetteers and context labelers.
 TLDS = ["com", "org", "net", "edu", "gov", "io", "de", "fr", "es", "uk", "eu", "info", "co", "us", "it", "nl", "ch", "at", "biz", "dev"]
-WORDS = {"email": r"e-?mail|mail(to)?|contact|write|reply|correo|courriel", "ip": r"\bips?\b|addr|host|server|login|client|from", "card": r"card|visa|master|amex|pay|credit|karte|tarjeta|carte", "phone": r"tel|phone|call|fax|mobile|cell|whatsapp|numm?er|contact"}
+WORDS = {"email": r"e-?mail|mail(to)?|contact|write|reply|correo|courriel", "ip": r"\bip(s|v[46])?\b|addr|host|server|login|client|from", "card": r"card|visa|master|amex|pay|credit|karte|tarjeta|carte", "phone": r"tel|phone|call|fax|mobile|cell|whatsapp|numm?er|contact"}
 AGAINST = {"email": r"example|image|retina", "ip": r"version|release|build|\bv$", "card": r"isbn|order|serial|tracking|invoice", "phone": r"isbn|order|serial|version|invoice|part"}
-PREFIX = {"card": r"^(4|5[1-5]|2[2-7]|3[47]|6011|65)", "phone": r"^\+?[(]?[1-9]", "ip": r"^(10\.|127\.|192\.168\.|172\.(1[6-9]|2[0-9]|3[01])\.)"}
+PREFIX = {"card": r"^(4|5[1-5]|2[2-7]|3[47]|3(0[0-5]|[689])|2131|1800|6011|65)", "phone": r"^\+?[(]?[1-9]", "ip": r"^(10\.|127\.|192\.168\.|172\.(1[6-9]|2[0-9]|3[01])\.)|^(?i:2[0-9a-f]{3}|3[0-9a-f]{3}|fe80|f[cd][0-9a-f]{2}):|^::1$"}
 
 
 def digits(m: Column) -> Column:
@@ -73,6 +80,17 @@ def valid(kind: str, m: Column) -> Column:
     return n.between(8, 15) if kind == "phone" else n.between(16, 19) & F.when(n.between(16, 19), luhn(digits(m))).otherwise(False)
 
 
+def sound_ip(m: Column) -> Column:
+    """1 for an IPv6 or an IPv4 with bracketed dots, -1 for what has the form of one and can't be; 0 for IPv6 without a digit."""
+    groups = F.size(F.filter(F.split(m, ":"), lambda x: x != ""))
+    six = F.when((groups > 7) & F.contains(m, F.lit("::")), -1).when(m.rlike("^[0-9A-Fa-f]{2}(:[0-9A-Fa-f]{2}){7}$"), -1).when(m.rlike("[0-9]"), 1).otherwise(0)
+    return F.when(F.contains(m, F.lit(":")), six).when(valid("ip", plain_ip(m)), 1).otherwise(-1)
+
+
+def plain_ip(m: Column) -> Column:
+    return F.regexp_replace(m, r"\x20?[\[(](?:\.|dot)[\])]\x20?", ".")
+
+
 def vote(yes: Column, no: Column | None = None) -> Column:
     out = F.when(yes, 1)
     return (out.when(no, -1) if no is not None else out).otherwise(0)
@@ -83,10 +101,10 @@ def voted(kind: str, c: Column, base: bool) -> Column:
     m, before = c["m"], F.lower(c["before"])
     n = F.length(digits(m))
     good = valid(kind, m) if base else F.lit(False)
-    check = {"email": vote(F.lower(m).rlike(r"(\.|dot[\])]\x20?)[a-z]{2,24}$"), ~F.lower(m).rlike(r"[a-z]{2,24}$")), "ip": vote(valid("ip", m), ~valid("ip", m)), "card": vote(n.between(13, 19) & F.when(n.between(13, 19), luhn(digits(m))).otherwise(False), F.lit(True)), "phone": vote(n.between(8, 15), F.lit(True))}[kind]
-    known = F.regexp_extract(F.lower(m), r"([a-z]+)$", 1).isin(TLDS) if kind == "email" else (digits(m) if kind == "card" else m).rlike(PREFIX[kind])
+    check = {"email": vote(F.lower(m).rlike(r"(\.|dot[\])]\x20?)[a-z]{2,24}$"), ~F.lower(m).rlike(r"[a-z]{2,24}$")), "ip": vote(valid("ip", m), ~valid("ip", m)) if base else sound_ip(m), "card": vote(n.between(13, 19) & F.when(n.between(13, 19), luhn(digits(m))).otherwise(False), F.lit(True)), "phone": vote(n.between(8, 15), F.lit(True))}[kind]
+    known = F.regexp_extract(F.lower(m), r"([a-z]+)$", 1).isin(TLDS) if kind == "email" else {"card": digits, "ip": plain_ip}.get(kind, lambda x: x)(m).rlike(PREFIX[kind])
     shape = F.when(n == 0, 0).when(n < 8, 1).when(n < 13, 2).otherwise(3)
-    form = vote(good, ~good) if base else F.lit(0)
+    form = vote(good, ~good if kind != "card" else ~good & ~digits(m).rlike(LOOSE_CARD)) if base else F.lit(0)
     return F.struct(
         c["s"].alias("s"), c["e"].alias("e"), F.lit(kind).alias("kind"), F.lit(base).alias("base"), good.alias("valid"),
         F.struct(form.alias("form"), check.alias("check"), vote(known).alias("gazetteer"), vote(before.rlike(WORDS[kind])).alias("context"), F.when(before.rlike(AGAINST[kind]), -1).otherwise(0).alias("against"), shape.alias("shape")).alias("v"),
@@ -105,7 +123,8 @@ def candidates(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.col("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     numbers = F.col("text").rlike("[0-9]{1}")
     cuts = [F.when(F.contains(F.col("text"), F.lit(HINT[k])) if HINT[k] else numbers, cut(F.col("text"), BASE[k])).otherwise(F.expr(NO_CUTS)).alias(f"b_{k}") for k in KINDS]
-    hints = {"email": F.lower(F.col("text")).rlike(r"[\[(]at[\])]"), "phone": F.col("text").rlike("[0-9][.-][0-9]{4}")}
+    brackets = F.col("text").rlike(r"[0-9]\x20?[\[(](?:\.|dot)[\])]")
+    hints = {"ip": F.contains(F.col("text"), F.lit("::")) | F.col("text").rlike(f":{HEX}:{HEX}:{HEX}:") | brackets, "email": F.lower(F.col("text")).rlike(r"[\[(]at[\])]"), "phone": F.col("text").rlike("[0-9][.-][0-9]{4}")}
     cuts += [F.when(hints[k], cut(F.col("text"), LOOSE[k])).otherwise(F.expr(NO_CUTS)).alias(f"l_{k}") for k in LOOSE]
     rows = rows.select("doc_id", *cuts)
     rows = rows.select("doc_id", *(located(F.col(c)).alias(c) for c in rows.columns[1:]))
@@ -113,10 +132,15 @@ def candidates(docs: DataFrame) -> DataFrame:
 
     taken = F.filter(F.concat(*(F.col(f"b_{k}") for k in KINDS)), lambda x: x["valid"])
     rows = rows.withColumn("taken", taken)
-    clear = [F.filter(F.col(f"l_{k}"), lambda x: ~F.exists(F.col("taken"), lambda y: (y["s"] < x["e"]) & (x["s"] < y["e"]))).alias(f"l_{k}") for k in LOOSE]
+    rows = rows.withColumn("l_card", F.filter("b_card", _abstained)).withColumn("b_card", F.filter("b_card", lambda x: ~_abstained(x)))
+    clear = [F.filter(F.col(f"l_{k}"), lambda x: ~F.exists(F.col("taken"), lambda y: (y["s"] < x["e"]) & (x["s"] < y["e"]))).alias(f"l_{k}") for k in KINDS]
     return rows.select("doc_id", *(f"b_{k}" for k in KINDS), *clear)
 
 
+def _abstained(x: Column) -> Column:
+    return x["v"]["form"] == 0
+
+
 def patterns(found: DataFrame) -> list[dict]:
     """How often each pattern of kind, votes and shape occurs: a bounded table, whatever the input's size."""
     every = F.concat(*(F.col(c) for c in found.columns[1:]))
@@ -190,7 +214,7 @@ def probability(kind: str, v: Column, weights: dict[str, float]) -> Column:
 
 
 def _sure(kind: str, weights: dict[str, float], sure: float):
-    return lambda c: probability(kind, c["v"], weights) >= sure
+    return lambda c: (c["v"]["check"] >= 0) & (probability(kind, c["v"], weights) >= sure)
 
 
 def find_pii(spark: SparkSession, docs: DataFrame, sure: float = SURE) -> DataFrame:
@@ -202,7 +226,7 @@ def find_pii(spark: SparkSession, docs: DataFrame, sure: float = SURE) -> DataFr
     out = [F.col("doc_id")]
     for k in KINDS:
         out.append(F.transform(F.filter(F.col(f"b_{k}"), lambda x: x["valid"]), lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"))).alias(f"base_{k}"))
-        more = F.filter(F.col(f"l_{k}"), _sure(k, weights, sure)) if k in LOOSE else F.filter(F.col(f"b_{k}"), lambda x: F.lit(False))
+        more = F.filter(F.col(f"l_{k}"), _sure(k, weights, sure))
         out.append(F.transform(more, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"))).alias(f"added_{k}"))
     return found.select(*out)
 

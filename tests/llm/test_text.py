@@ -223,6 +223,15 @@ def test_language_order_holds_for_many_languages_and_symbols():
     assert trees.code_lengths(text.encode()) == pytest.approx(want, rel=1e-5)
 
 
+def test_language_learns_from_long_texts_where_there_are_no_others(spark):
+    ids = [i for i in range(1, 40) if zlib.crc32(str(i).encode()) % 4 != 2][:6]
+    long = "der hund und die katze " * 5000
+    rows = [(i, "the cat sat on the mat", "en") for i in ids[:3]] + [(i, long, "de") for i in ids[3:]] + [(ids[0], "x" * 100001, "en"), (1000, "die katze und der hund", None)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert language.sample(d) == {"de": [long[: language.SAMPLE_CHARS]] * 3, "en": ["the cat sat on the mat"] * 3}
+    assert {r.doc_id: r.lang_pred for r in language.identify(d).collect()}[1000] == "de"
+
+
 def test_language_edges(spark, monkeypatch):
     rows = [(1, None, "en"), (2, "", "en"), (3, "123 ?!", "de"), (4, "the house", None)]
     d = spark.createDataFrame(rows, "doc_id long, text string, lang string")

@@ -32,7 +32,7 @@ from .common import held_out, small, table, written
 
 #: At most so many rows of each language are learned from.
 SAMPLE = 250
-#: Longer texts aren't learned from; they are predicted whole like any other.
+#: Longer texts aren't learned from, except by their first so many characters where a language has no others; they are predicted whole like any other.
 SAMPLE_CHARS = 100_000
 ORDER = 3
 #: Languages that share a table.
@@ -54,15 +54,17 @@ def folded() -> np.ndarray:
 
 def sample(docs: DataFrame, most: int = SAMPLE) -> dict[str, list[str]]:
     """Texts to learn from, by language: of each, those whose identifiers' hashes are smallest."""
-    fit = F.col("lang").isNotNull() & (F.length("text") <= SAMPLE_CHARS) & ~held_out(F.col("doc_id"))
-    rows = docs.filter(fit).select("lang", F.xxhash64("doc_id").alias("h"), F.col("doc_id").alias("id")).distinct()
-    counted = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    fit = F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id"))
+    over = F.length("text") > SAMPLE_CHARS
+    rows = docs.filter(fit).select("lang", F.xxhash64("doc_id").alias("h"), F.col("doc_id").alias("id"), over.alias("over")).distinct()
+    shares = rows.groupBy("lang").agg(F.count_if(~F.col("over")).alias("short"), F.count_if("over").alias("long"))
+    counted = shares.select("lang", (F.col("short") == 0).alias("only_over"), F.when(F.col("short") > 0, F.col("short")).otherwise(F.col("long")).alias("n"))
     best = Window.partitionBy("lang").orderBy("h", "id")
     # hashes are uniform: twice the wanted share is cut out first, so that ranking sees few rows
-    near = rows.join(small(written(counted, "language-counts"), BROADCAST_LANGS), "lang").filter((F.col("n") <= 4 * most) | (F.col("h") < -(2.0**63) + 2.0**64 * 2 * most / F.col("n")))
-    chosen = near.withColumn("k", F.row_number().over(best)).filter(F.col("k") <= most).select(F.col("id").alias("_id"), F.col("lang").alias("_lang")).distinct()
-    picked = docs.join(F.broadcast(chosen), (docs["doc_id"] == F.col("_id")) & (docs["lang"] == F.col("_lang"))).filter(fit)
-    picked = picked.groupBy("_lang", "_id").agg(F.min("text").alias("text"))  # bounded: most rows a language, repeated rows count once
+    near = rows.join(small(written(counted, "language-counts"), BROADCAST_LANGS), "lang").filter(F.col("over") == F.col("only_over")).filter((F.col("n") <= 4 * most) | (F.col("h") < -(2.0**63) + 2.0**64 * 2 * most / F.col("n")))
+    chosen = near.withColumn("k", F.row_number().over(best)).filter(F.col("k") <= most).select(F.col("id").alias("_id"), F.col("lang").alias("_lang"), F.col("over").alias("_over")).distinct()
+    picked = docs.join(F.broadcast(chosen), (docs["doc_id"] == F.col("_id")) & (docs["lang"] == F.col("_lang"))).filter(fit & (over == F.col("_over")))
+    picked = picked.groupBy("_lang", "_id").agg(F.min(F.substring("text", 1, SAMPLE_CHARS)).alias("text"))  # bounded: most rows a language, repeated rows count once
     out: dict[str, list[str]] = {}
     for r in picked.collect():
         out.setdefault(r["_lang"], []).append(r["text"])

@@ -348,6 +348,13 @@ def test_token_counts(spark):
     assert [(r.field, r.section) for r in two] == [("lang", 0), ("text", 0)]
 
 
+def test_token_counts_keep_every_identifier(spark):
+    ids = [-1, None, 0, 2**60 + 1]
+    d = spark.createDataFrame([(i, "a word") for i in ids], "doc_id long, text string").coalesce(1)
+    rows = token_counts.token_counts(d).collect()
+    assert Counter(r.doc_id for r in rows) == Counter(ids) and all(r.n_tokens > 0 for r in rows)
+
+
 @pytest.mark.parametrize(("rule", "want"), [("first", [0, 0, 2]), ("last", [0, 2, 2]), ("most", [0, 1, 2])])
 def test_boundary_rules(rule, want):
     own, crossing = token_counts.owners(np.array([3, 12, 13]), np.array([4, 10, 13]), rule)

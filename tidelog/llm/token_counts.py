@@ -66,7 +66,7 @@ def token_counts(docs: DataFrame, fields: tuple[str, ...] = ("text",), tokenizer
         for batch in batches:
             out: list[tuple[np.ndarray, ...]] = []
             for row in batch.itertuples(index=False):
-                raw, sections = section_bytes([x or "" for x in row[1:]])
+                raw, sections = section_bytes([x or "" for x in row[2:]])
                 which = np.array(sections, dtype=np.int64)
                 ends = which[:, 2]
                 ids = np.array(enc.ids(raw.decode()), dtype=np.int64)
@@ -75,17 +75,19 @@ def token_counts(docs: DataFrame, fields: tuple[str, ...] = ("text",), tokenizer
                 crossed = np.bincount(own[crossing], minlength=len(ends))
                 characters = np.concatenate(([0], np.cumsum((np.frombuffer(raw, dtype=np.uint8) & 0xC0) != 0x80)))
                 until = characters[ends]
-                out.append((np.full(len(ends), -1 if row[0] is None or row[0] != row[0] else row[0], dtype=np.int64), which[:, 0], which[:, 1], np.concatenate(([0], until[:-1])), until, n, crossed))
+                out.append((np.full(len(ends), row[0], dtype=np.int64), np.full(len(ends), row[1], dtype=bool), which[:, 0], which[:, 1], np.concatenate(([0], until[:-1])), until, n, crossed))
             if not out:
                 continue
             columns = [np.concatenate(x) for x in zip(*out)]
-            frame = pd.DataFrame(dict(zip(["doc_id", "field", "section", "start", "end", "n_tokens", "n_crossing"], columns)))
+            frame = pd.DataFrame(dict(zip(["doc_id", "null", "field", "section", "start", "end", "n_tokens", "n_crossing"], columns)))
             frame["field"] = np.array(fields, dtype=object)[frame["field"]]
+            frame["doc_id"] = pd.arrays.IntegerArray(frame["doc_id"].to_numpy(), frame.pop("null").to_numpy())
             yield frame.astype({"section": "int32"})
 
-    given = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("_id"), *(F.col(f).cast("string").alias(f"_{i}") for i, f in enumerate(fields)))
-    counted = given.mapInPandas(count, COUNTS)
-    return counted.withColumn("doc_id", F.when(F.col("doc_id") != -1, F.col("doc_id")))
+    # a null identifier goes as a flag: pandas would turn identifiers beside it into floats
+    id_ = F.col("doc_id").cast("long")
+    given = docs.select(F.coalesce(id_, F.lit(0)).alias("_id"), id_.isNull().alias("_null"), *(F.col(f).cast("string").alias(f"_{i}") for i, f in enumerate(fields)))
+    return given.mapInPandas(count, COUNTS)
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,10 +10,11 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tidelog.llm import common
 from tidelog.llm import exact_dedup as E
 from tidelog.llm import near_dedup as N
 from tidelog.llm.common import new_path
-from tidelog.llm.exact_dedup import assign, exact_dedup, keep_first, landed, read_state, update_state
+from tidelog.llm.exact_dedup import decided, exact_dedup, keep_first, landed, read_state, update_state
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -22,6 +23,7 @@ def docs(spark, rows, more: str = ""):
     return spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], SCHEMA)
 
 
+CLASHING = ("1 as sha", "2 as keep_id", "3 as _flag", "4 as _stay", "5 as file", "6 as row", "7 as _FILE", "8 as _b", "9 as body", "10 as stays", "11 as _metadata")
 EXACT = [(5, "a  b"), (2, "a\tb"), (9, "a b "), (1, None), (4, ""), (7, "c"), (7, "c"), (8, "c d"), (3, "c d"), (6, "a b")]
 
 
@@ -36,12 +38,13 @@ def test_exact(spark):
 
 
 def test_exact_empty_and_extra_columns(spark):
-    none = docs(spark, []).selectExpr("*", "1 as sha", "2 as n", "3 as _stay")
+    none = docs(spark, []).selectExpr("*", "1 as sha", "2 as n", "3 as _stay", "4 as file", "5 as row")
     assert exact_dedup(spark, none).count() == 0
-    some = docs(spark, EXACT).selectExpr("*", "1 as sha", "2 as n", "3 as keep_id")
+    some = docs(spark, EXACT + [(None, "a b"), (None, "z"), (None, "z")]).selectExpr("*", *CLASHING)
     kept = keep_first(spark, some)
     assert kept.columns == some.columns
-    assert sorted(r.doc_id for r in kept.collect()) == [1, 2, 3, 7, 7, 8, 9]
+    # one row a text, of repeated rows and of those without an identifier too
+    assert sorted((r.doc_id or -1, r._flag) for r in kept.collect()) == [(-1, 3), (1, 3), (2, 3), (3, 3), (7, 3), (8, 3), (9, 3)]
 
 
 def test_exact_state_outlives_a_run(spark):
@@ -54,14 +57,12 @@ def test_exact_state_outlives_a_run(spark):
 
 def test_full_bytes_decide(spark, monkeypatch):
     """Rows that the state calls equal but that differ in bytes stay apart."""
-    d = docs(spark, [(1, "x"), (2, "x")])
+    monkeypatch.setattr(E, "digest", lambda text: F.lit("one digest for all"))
     state = new_path(spark, "state")
-    digests, stream = landed(spark, d, state)
+    d, digests, stream = landed(spark, docs(spark, [(1, "x"), (2, "y"), (3, "x ")]), state)
     update_state(stream, state)
-    same = digests.first().sha
-    monkeypatch.setattr(E, "digest", lambda text: F.lit(same))
-    out = {(r.doc_id, r.keep_id, r.kept) for r in assign(docs(spark, [(1, "x"), (2, "y")]), digests, read_state(spark, state)).collect()}
-    assert out == {(1, 1, True), (2, 2, True)}
+    out = {(r.doc_id, r.keep_id, r.group_size, r.stays) for r in decided(d, digests, read_state(spark, state)).collect()}
+    assert out == {(1, 1, 3, True), (2, 2, 1, True), (3, 3, 1, True)}
 
 
 def near_brute(rows, k=4):
@@ -136,3 +137,70 @@ def test_components(spark, edges):
     got = {(r.id, r.root) for r in N.components(spark.createDataFrame(edges, "x long, y long")).collect()}
     want = {(2, 1), (3, 1), (4, 1), (9, 8)} if edges and edges[0] == (2, 1) else {(6, 5), (7, 5), (9, 5)} if edges else set()
     assert got == want
+
+
+def test_near_rows_that_share_or_lack_an_identifier(spark):
+    far, near = "a b c d e f g h i j k l m n o p q r s t u v w x y z", "a b c d e f g h i j k l m n o p q r s t u v w x y zz"
+    rows = [(7, far), (7, "quite another text than that"), (None, near), (9, "quite another text than that"), (None, "on its own here"), (None, "on its own here"), (8, near), (None, None), (None, None)]
+    d = docs(spark, rows).selectExpr("*", *CLASHING, "12 as top", "13 as set_id", "14 as n", "15 as _row")
+    got = sorted((r.n_shingles, r.doc_id or -1, r.component_id or -1, r.kept) for r in N.near_duplicates(d).collect())
+    assert got == [(0, -1, -1, True)] * 2 + [(1, -1, -1, True)] * 2 + [(2, 7, 7, True), (2, 9, 7, False), (23, -1, 7, False), (23, 7, 7, True), (23, 8, 7, False)]
+    kept = N.keep_one(d, 4)
+    assert kept.columns == d.columns
+    assert sorted((r.doc_id or -1, r.text or "") for r in kept.collect()) == [(-1, ""), (-1, ""), (-1, "on its own here"), (7, far), (7, "quite another text than that")]
+
+
+def star(spark, members, own):
+    """A leader and members that share a passage with it and a line with one another; each has words of its own, so none is linked."""
+    ids = np.arange(1, members + 1)
+    passage, line = np.arange(60), np.arange(1000, 1020)
+    sets = [np.concatenate((passage, line, 10_000 + 50 * (i // 2) + np.arange(own), 10**6 + 50 * i + np.arange(25 - own))) for i in ids]
+    rest = [(0, int(i), 105, 0.5, int(i)) for i in ids]
+    made = spark.createDataFrame([(int(i), [int(x) for x in s]) for i, s in zip(ids, sets)], "id long, s array<long>")
+    return spark.createDataFrame(rest, "z long, id long, n long, d double, c long"), made
+
+
+@pytest.mark.parametrize("own", [10, 21, 25])
+def test_a_line_that_all_members_of_a_star_share_makes_no_pairs(spark, own):
+    """Candidates are linear in the members, and those that are linked (neighbours by twos, where own is 25) are among them."""
+    members = 5000
+    rest, sets = star(spark, members, own)
+    keys = N.prefixes(rest, sets).cache()
+    found = {(r.x, r.y) for r in N.meeting(keys).collect()}
+    assert len(found) <= members
+    if own == 25:
+        assert found >= {(i, i + 1) for i in range(2, members, 2)}
+    keys.unpersist()
+
+
+def test_filter_flags_every_wanted_row_and_few_others(spark, monkeypatch):
+    rows = spark.range(200_000).withColumn("_flag", F.lit(1))
+    wanted = spark.range(0, 200_000, 20)
+    for bits, most in ((1 << 29, 15_000), (64 * 64, 200_000)):  # a filter that is far too small lets more through, and loses none
+        monkeypatch.setattr(common, "FILTER_BITS", bits)
+        out, flag = common.narrowed(rows, ["id"], wanted)
+        assert flag == "_flag_" and out.columns == ["id", "_flag", "_flag_"]
+        assert out.filter(F.col(flag)).join(wanted, "id").count() == 10_000
+        assert 10_000 <= out.filter(F.col(flag)).count() <= most
+
+
+def test_full_filters_change_no_result(spark, monkeypatch):
+    monkeypatch.setattr(common, "FILTER_BITS", 64)
+    test_exact(spark)
+    test_exact_empty_and_extra_columns(spark)
+    test_near_rows_that_share_or_lack_an_identifier(spark)
+
+
+def test_texts_stay_out_of_exchanges(spark, tmp_path):
+    """Of a table's texts only those of dropped rows, and a few by chance, go through an exchange."""
+    docs(spark, [(i, f"text {i % 1900} " * 30) for i in range(2000)]).write.parquet(f"{tmp_path}/docs")
+    d = spark.read.parquet(f"{tmp_path}/docs")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        kept = keep_first(spark, d)
+        assert len(kept.collect()) == 1900
+        plan = kept._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    sure, flagged = plan.split("Union", 1)[1].split("SortMergeJoin", 1)
+    assert "hashpartitioning" not in sure and flagged.count("Exchange hashpartitioning") == 2

@@ -2,33 +2,30 @@
 
 Each text, with its white space runs replaced by one space, has a SHA-256 digest. A Structured
 Streaming query keeps, for each digest, the smallest identifier seen (the text that stays), the
-locator of that text (file and identifier) and the number of rows, in RocksDB state stores whose
+locator of that text (file and row number) and the number of rows, in RocksDB state stores whose
 checkpoint lies in the shared folder. The state has no watermark and never expires, so a later
 run over the same checkpoint checks new files against all that came before. Every hit (a row whose
 digest belongs to another row) is then confirmed on the full bytes of both texts, so that a digest
-collision can't drop a document.
-
-Defined results: null text counts as empty; empty texts are equal to one another; repeated rows
-with one identifier form a group of that size, of which each row counts as kept where it has the
-keep_id; a null identifier is never the one that stays unless all are null; an empty table gives no
-rows; other columns are ignored by the operator and kept by `keep_first`.
+collision can't drop a document. Texts are fetched by locator: a Bloom filter of the hits' locators keeps
+all other rows' texts out of every exchange, at any size of the table.
+
+Defined results: null text counts as empty; empty texts are equal to one another; texts of any length are
+compared whole; repeated rows with one identifier form a group of that size, of which each row counts as
+kept where it has the keep_id, and of which `keep_first` leaves the first row alone (by file and row
+number, which also settle ties of identifiers); a null identifier is never the one that stays unless all
+are null; an empty table gives no rows; other columns, whatever their names, are ignored by the operator
+and kept by `keep_first`.
 """
 
 from __future__ import annotations
 
 import uuid
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..streaming.settings import disk_state
-from .common import SPACE_CLASS, new_path, small, table, written
-
-#: Digests with several rows are broadcast up to this many (some 100 bytes each); beyond it, they are joined by a shuffle.
-BROADCAST_ROWS = 200_000
-#: Identifiers alone, of 8 bytes.
-BROADCAST_IDS = 500_000
+from .common import PLACE, SPACE_CLASS, narrowed, new_path, placed, table, without, written
 
 
 def normal(text: Column) -> Column:
@@ -41,95 +38,90 @@ def digest(text: Column) -> Column:
 
 
 def update_state(stream: DataFrame, checkpoint: str) -> None:
-    """Feeds what is new in stream (doc_id, sha, locator) to the state under checkpoint."""
+    """Feeds what is new in stream (doc_id, sha, file, row) to the state under checkpoint."""
     with disk_state(stream.sparkSession):
-        kept = stream.groupBy("sha").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "locator")).alias("first"), F.count(F.lit(1)).alias("n"))
+        first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "file", "row")
+        kept = stream.groupBy("sha").agg(F.min(first).alias("first"), F.count(F.lit(1)).alias("n"))
         kept.writeStream.format("noop").outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
 def read_state(spark: SparkSession, checkpoint: str) -> DataFrame:
-    """sha, keep_id, locator, n for each digest in the state."""
+    """sha, keep_id, file, row, n for each digest in the state."""
     state = spark.read.format("statestore").load(checkpoint)
     value = state.schema["value"].dataType.names
-    return state.select(F.col("key")[state.schema["key"].dataType.names[0]].alias("sha"), F.col("value")[value[0]]["doc_id"].alias("keep_id"), F.col("value")[value[0]]["locator"].alias("locator"), F.col("value")[value[1]].alias("n"))
+    first = F.col("value")[value[0]]
+    return state.select(F.col("key")[state.schema["key"].dataType.names[0]].alias("sha"), first["doc_id"].alias("keep_id"), first["file"].alias("file"), first["row"].alias("row"), F.col("value")[value[1]].alias("n"))
 
 
-def landed(spark: SparkSession, docs: DataFrame, checkpoint: str) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, sha, locator) of docs as a table, and as a stream with what landed for this state before.
+def landed(spark: SparkSession, docs: DataFrame, checkpoint: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """docs as files, (doc_id, sha, file, row) of them as a table, and as a stream with what landed for this state before.
 
     Digests are computed once, into a landing folder beside the state that a file source reads. The
-    locator is the file that holds the row; rows that don't come from files are written beside the
-    state first."""
+    locator is the file that holds the row and the row's number there; rows that don't come from files are
+    written beside the state first."""
     run = f"run={uuid.uuid4().hex}"
-    if not _from_files(docs):
-        docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").write.parquet(f"{checkpoint}-content/{run}")
-        docs = spark.read.parquet(f"{checkpoint}-content/{run}")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), digest(F.col("text")).alias("sha"), F.col("_metadata.file_path").alias("locator"))
+    docs, file, row = placed(docs, f"{checkpoint}-content/{run}")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), digest(F.col("text")).alias("sha"), file.alias("file"), row.alias("row"))
     rows.write.parquet(f"{checkpoint}-landing/{run}")
-    return spark.read.schema(rows.schema).parquet(f"{checkpoint}-landing/{run}"), spark.readStream.schema(rows.schema).parquet(f"{checkpoint}-landing")
-
-
-def _from_files(docs: DataFrame) -> bool:
-    try:
-        docs.select("_metadata.file_path")
-        return True
-    except AnalysisException as error:
-        if error.getCondition() and error.getCondition().startswith("UNRESOLVED_COLUMN"):
-            return False
-        raise
-
-
-def assign(docs: DataFrame, digests: DataFrame, state: DataFrame, seen_before: bool = False) -> DataFrame:
-    """doc_id, keep_id, group_size, kept, text_sha256 for each row of docs, hits confirmed on full bytes.
-
-    Only rows of digests with several rows carry their text to the comparison. seen_before: the texts
-    that stay may be those of earlier runs; they are read by their locators."""
-    shared = written(state.filter("n > 1").select("sha", F.col("keep_id").alias("first_id"), "locator", "n"), "dedup-shared")
-    few = small(shared.select("sha", "first_id", "n"), BROADCAST_ROWS)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), normal(F.col("text")).alias("body"), digest(F.col("text")).alias("sha"))
-    alone = digests.select("doc_id", "sha").join(shared.select("sha"), "sha", "left_anti").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), F.col("sha").alias("text_sha256"))
-    hits = written(rows.join(few, "sha"), "dedup-hits")
-    # repeated rows with the identifier that stays are equal in digest: one text of them is the reference
-    first = hits.filter(F.col("doc_id").eqNullSafe(F.col("first_id"))).groupBy("sha").agg(F.min("body").alias("first_body"))
+    return docs, spark.read.schema(rows.schema).parquet(f"{checkpoint}-landing/{run}"), spark.readStream.schema(rows.schema).parquet(f"{checkpoint}-landing")
+
+
+def decided(docs: DataFrame, digests: DataFrame, state: DataFrame, seen_before: bool = False) -> DataFrame:
+    """file, row, doc_id, keep_id, group_size, stays and sha for each row of docs, hits confirmed on full bytes.
+
+    stays: the row itself is the one of its group that stays. Only rows of digests with several rows carry
+    their text to the comparison. seen_before: the texts that stay may be those of earlier runs; they are
+    read by their locators."""
+    shared = written(state.filter("n > 1").select("sha", F.col("keep_id").alias("first_id"), F.col("file").alias("first_file"), F.col("row").alias("first_row"), "n"), "dedup-shared")
+    alone = digests.join(shared.select("sha"), "sha", "left_anti").select("file", "row", "doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("stays"), "sha")
+    wanted = written(digests.join(shared, "sha"), "dedup-wanted")
+    meta = docs.metadataColumn("_metadata")
+    texts = docs.select(meta["file_path"].alias("file"), meta["row_index"].alias("row"), normal(F.col("text")).alias("body"))
+    texts, flag = narrowed(texts, [*PLACE], wanted)
+    hits = written(texts.filter(F.col(flag)).drop(flag).join(wanted, [*PLACE]), "dedup-hits")
+    own = (F.col("file") == F.col("first_file")) & (F.col("row") == F.col("first_row"))
     # written, so that the join's sides are plain exchanges, whose hot digests can be split
-    first = written(first, "dedup-first")
+    first = written(hits.filter(own).select("sha", F.col("body").alias("first_body")), "dedup-first")
     if seen_before:
         first = first.unionByName(_earlier(shared.join(hits.select("sha"), "sha", "left_semi").join(first.select("sha"), "sha", "left_anti")))
-    checked = hits.join(first, "sha").select("doc_id", "sha", "first_id", "n", (F.col("body") == F.col("first_body")).alias("same"))
-    sizes = F.when(F.col("same"), F.col("n"))
-    equal = checked.select(
-        "doc_id",
-        F.when(F.col("same"), F.col("first_id")).otherwise(F.col("doc_id")).alias("keep_id"),
-        F.coalesce(sizes, F.lit(1)).cast("long").alias("group_size"),
-        (~F.col("same") | F.col("doc_id").eqNullSafe(F.col("first_id"))).alias("kept"),
-        F.col("sha").alias("text_sha256"),
-    )
-    return alone.unionByName(equal)
+    same = F.col("body") == F.col("first_body")
+    checked = hits.join(first, "sha").select("file", "row", "doc_id", F.when(same, F.col("first_id")).otherwise(F.col("doc_id")).alias("keep_id"), F.when(same, F.col("n")).otherwise(1).cast("long").alias("group_size"), (~same | own).alias("stays"), "sha")
+    return alone.unionByName(checked)
 
 
 def _earlier(wanted: DataFrame) -> DataFrame:
-    """(sha, first_body) of texts that stayed in earlier runs, read from their files. Only the files' names reach the driver."""
+    """(sha, first_body) of texts that stayed in earlier runs, read from their files. Only the files' names reach the driver, as they do for any scan."""
     spark = wanted.sparkSession
-    wanted = written(wanted.select("sha", "first_id", "locator"), "dedup-earlier")
-    files = [r[0] for r in wanted.select("locator").distinct().collect()]
+    wanted = written(wanted.select("sha", F.col("first_file").alias("file"), F.col("first_row").alias("row")), "dedup-earlier")
+    files = [r[0] for r in wanted.select("file").distinct().collect()]
     if not files:
         return wanted.select("sha", F.lit("").alias("first_body")).limit(0)
-    kept = spark.read.parquet(*files).select(F.col("doc_id").cast("long").alias("first_id"), normal(F.col("text")).alias("body"), digest(F.col("text")).alias("sha"))
-    return kept.join(wanted.select("sha", "first_id"), ["sha", "first_id"], "left_semi").groupBy("sha").agg(F.min("body").alias("first_body"))
+    kept = spark.read.parquet(*files)
+    meta = kept.metadataColumn("_metadata")
+    texts, flag = narrowed(kept.select(meta["file_path"].alias("file"), meta["row_index"].alias("row"), normal(F.col("text")).alias("first_body")), [*PLACE], wanted)
+    return texts.filter(F.col(flag)).join(wanted, [*PLACE]).select("sha", "first_body")
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, checkpoint: str | None = None) -> DataFrame:
-    """One row per row of docs; checkpoint: that of an earlier run, whose texts then count as seen."""
+    """doc_id, keep_id, group_size, kept and text_sha256 for each row of docs; checkpoint: that of an earlier run, whose texts then count as seen."""
+    return _told(_run(spark, docs, checkpoint)[1])
+
+
+def _run(spark: SparkSession, docs: DataFrame, checkpoint: str | None = None) -> tuple[DataFrame, DataFrame]:
     state = checkpoint or new_path(spark, "dedup-state")
-    digests, stream = landed(spark, docs, state)
+    docs, digests, stream = landed(spark, docs, state)
     update_state(stream, state)
-    return assign(docs, digests, read_state(spark, state), seen_before=checkpoint is not None)
+    return docs, decided(docs, digests, read_state(spark, state), seen_before=checkpoint is not None)
+
+
+def _told(rows: DataFrame) -> DataFrame:
+    return rows.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("sha").alias("text_sha256"))
 
 
 def keep_first(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """The rows of docs that stay, with all their columns."""
-    stay = written(exact_dedup(spark, docs).filter("kept").select(F.col("doc_id").alias("_stay")).distinct(), "dedup-stay")
-    return docs.join(small(stay, BROADCAST_IDS), F.col("doc_id").cast("long").eqNullSafe(F.col("_stay")), "left_semi")
+    """One row of docs for each text, with all its columns: that with the smallest identifier, of those the first."""
+    docs, rows = _run(spark, docs)
+    return without(docs, written(rows.filter("not stays").select(*PLACE), "dedup-gone"))
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

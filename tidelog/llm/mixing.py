@@ -15,8 +15,10 @@ the budget ends, so a source with a third of all rows isn't sorted in one task.
 
 Tokens are words (runs of other than white space) unless a column says otherwise. Defined results: null
 or empty texts have no tokens, cost nothing and are taken once; null languages and sources form the leaf
-"(none)"; repeated rows are drawn each; ties in the hash go by identifier; weights of zero or less
-give nothing; an empty table gives no rows; other columns are kept by `keep_mixed`.
+"(none)"; texts of any length are counted whole; repeated rows are drawn each; ties in the hash go by
+identifier; weights of zero or less give nothing; an empty table gives no rows; other columns, whatever
+their names, are kept by `keep_mixed`, which sends only rows that it drops (and a few by chance, see
+`common.narrowed`) through an exchange.
 """
 
 from __future__ import annotations
@@ -24,13 +26,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD_CLASS, small, table, written
+from .common import PLACE, WORD_CLASS, new_path, placed, table, without, written
 
 LEVELS = ("domain", "lang", "source")
 BUCKETS = 4096
-#: Leaves are broadcast up to this many (some 100 bytes each), chosen identifiers (8 bytes) up to that many.
-BROADCAST_LEAVES = 10_000
-BROADCAST_IDS = 500_000
 
 
 def words(text: Column) -> Column:
@@ -78,30 +77,38 @@ def mix(docs: DataFrame, domain: Column, part: float, weights: dict[str, dict[st
     """doc_id, domain, lang, source, tokens and copies of every row of docs: how often it is drawn.
 
     The total budget is part times the tokens of docs."""
-    given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(domain, F.lit("(none)")).alias("domain"), *(F.coalesce(F.col(c), F.lit("(none)")).alias(c) for c in LEVELS[1:]), (words(F.col("text")) if tokens is None else tokens).alias("tokens"))
+    return _drawn(docs, domain, part, weights, max_epochs, seed, tokens)
+
+
+def _drawn(docs: DataFrame, domain: Column, part: float, weights: dict[str, dict[str, int]], max_epochs: int, seed: int, tokens: Column | None, place: tuple[Column, ...] = ()) -> DataFrame:
+    """The columns of place, and those of mix()."""
+    given = docs.select(*place, F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(domain, F.lit("(none)")).alias("domain"), *(F.coalesce(F.col(c), F.lit("(none)")).alias(c) for c in LEVELS[1:]), (words(F.col("text")) if tokens is None else tokens).alias("tokens"))
     rows = written(given, "mix-rows")
     leaves = rows.groupBy(*LEVELS).agg(F.sum("tokens").alias("tokens")).withColumn("cap", F.col("tokens") * max_epochs)
     plan = budgets(leaves, F.col("tokens") * part, weights)
     full = F.when(F.col("tokens") > 0, F.floor(F.col("budget") / F.col("tokens"))).otherwise(0).cast("long")
     plan = written(plan.select(*LEVELS, full.alias("full"), (F.col("budget") - full * F.col("tokens")).alias("rest")), "mix-plan")
 
-    dealt = rows.join(small(plan, BROADCAST_LEAVES), list(LEVELS)).withColumn("h", seeded(seed, F.col("full") + 1, F.col("doc_id"))).withColumn("bucket", F.shiftright("h", 48))
+    # rows have no text here, and Spark broadcasts a plan of few leaves by itself
+    dealt = rows.join(plan, list(LEVELS)).withColumn("h", seeded(seed, F.col("full") + 1, F.col("doc_id"))).withColumn("bucket", F.shiftright("h", 48))
     key = [*LEVELS, "bucket"]
     sums = dealt.groupBy(*key).agg(F.sum("tokens").alias("upto"), F.first("rest").alias("rest"))
     run = Window.partitionBy(*LEVELS).orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     sums = sums.withColumn("base", F.sum("upto").over(run) - F.col("upto"))
     ends = sums.filter("base <= rest and base + upto > rest").select(*LEVELS, F.col("bucket").alias("at"), "base")  # a row a leaf at most
-    dealt = dealt.join(small(written(ends, "mix-ends"), BROADCAST_LEAVES), list(LEVELS), "left")
+    dealt = dealt.join(written(ends, "mix-ends"), list(LEVELS), "left")
     sure = dealt.filter("at is null or bucket <> at").withColumn("more", F.expr("at is null or bucket < at"))
     order = Window.partitionBy(*LEVELS).orderBy("h", "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     last = dealt.filter("bucket = at").withColumn("more", F.col("base") + F.sum("tokens").over(order) <= F.col("rest"))
-    return sure.unionByName(last).select("doc_id", *LEVELS, "tokens", F.when(F.col("tokens") == 0, 1).otherwise(F.col("full") + F.col("more").cast("int")).cast("long").alias("copies"))
+    copies = F.when(F.col("tokens") == 0, 1).otherwise(F.col("full") + F.col("more").cast("int")).cast("long")
+    return sure.unionByName(last).select(*(PLACE if place else ()), "doc_id", *LEVELS, "tokens", copies.alias("copies"))
 
 
 def keep_mixed(docs: DataFrame, domain: Column, part: float, weights: dict[str, dict[str, int]], seed: int = 11) -> DataFrame:
     """The rows of docs that one epoch draws, with all their columns."""
-    drawn = written(mix(docs, domain, part, weights, 1, seed).filter("copies > 0").select(F.col("doc_id").alias("_drawn")).distinct(), "mix-drawn")
-    return docs.join(small(drawn, BROADCAST_IDS), F.col("doc_id").cast("long").eqNullSafe(F.col("_drawn")), "left_semi")
+    docs, file, row = placed(docs, new_path(docs.sparkSession, "mix-docs"))
+    rows = _drawn(docs, domain, part, weights, 1, seed, None, (file.alias("file"), row.alias("row")))
+    return without(docs, written(rows.filter("copies = 0").select(*PLACE), "mix-gone"))
 
 
 #: The tree of the test tables: domains by the number in a source's name.

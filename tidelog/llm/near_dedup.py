@@ -11,16 +11,23 @@ only 2 * HALVES * WIDTH minhashes. A pair of similarity 0.8 shares a key but for
    the leaders of its buckets, on full sets: as many pairs as members, never all pairs of a bucket.
 3. Verified links give components (alternating large and small stars over written tables).
 4. What two members of a bucket could still have in common without their leader is settled exactly:
-   where a member isn't in its leader's component, the members of that star meet by shingles that the
-   leader hasn't, of which a pair has some unless both have enough in common with the leader; those
-   meet by prefix filter, each with the `n - ceil(0.8 n) + 1` shingles that are rarest in the star. Left
-   out are members with too many shingles that no other member has, pairs of one component, and pairs
-   too far apart by the triangle inequality of the Jaccard distance; survivors are verified.
+   members of a star with a member outside the leader's component meet by prefix filter, each with the
+   `n - ceil(0.8 n) + 1` of its shingles that are rarest in the star, whether the leader has them or not, so
+   a line that all members share makes no pairs while they have rarer shingles. Left out are members
+   with too many shingles that no other member has, pairs of one component (of a list's largest one, only
+   meetings with others are made), pairs that have too little left after their first meeting, and pairs too
+   far apart by the triangle inequality of the Jaccard distance; survivors are verified.
+
+Joins that many rows of one leader meet in are dealt over several tasks. Full texts are read for classes
+with a partner alone: a Bloom filter keeps all others out of the exchange, at any size of the table.
 
 Defined results: null and empty texts and texts without words have an empty set, are linked with nothing
-and are their own component; texts with fewer words than a shingle are one shingle; repeated rows are in
-one class; rows without an identifier take no part in linking; an empty table gives no rows; other
-columns are kept by `keep_one` and ignored otherwise.
+and are their own component; texts with fewer words than a shingle are one shingle; texts of any length
+are taken whole; repeated rows are in one class; an identifier that several texts share is in the
+component of each of its texts; rows without an identifier are linked like others, and name a component
+(null) or stay only where none in it has one; ties go to the smaller identifier, then by file and row
+number; an empty table gives no rows; other columns, whatever their names, are kept by `keep_one` and
+ignored otherwise.
 """
 
 from __future__ import annotations
@@ -34,14 +41,18 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import TEXT_ROWS, small, table, written
+from .common import PLACE, TEXT_ROWS, narrowed, new_path, placed, table, without, written
 
 HALVES = 10
 WIDTH = 2
 #: Links need 100 * intersection >= PERCENT * union.
 PERCENT = 80
-#: Identifiers are broadcast up to this many.
-BROADCAST_IDS = 500_000
+#: Jaccard distance up to which sets can be linked.
+FAR = 1 - PERCENT / 100 + 1e-9
+#: Words to a shingle, unless the caller says otherwise (the registered query op5 takes four, the pipeline's stage these five).
+SHINGLE = 5
+#: Rows of one leader that one task compares.
+SPLIT = 2_000
 BLOCK = 1 << 20
 
 SPACE = np.zeros(256, dtype=bool)
@@ -51,7 +62,7 @@ LOWER[65:91] += 32
 DICE = np.random.Generator(np.random.PCG64(20))
 BYTE = DICE.integers(0, 2**64, 256, dtype=np.uint64)
 BASE = int(DICE.integers(0, 2**63)) * 2 + 1
-PLACE = DICE.integers(0, 2**64, 64, dtype=np.uint64) | np.uint64(1)
+FACTOR = DICE.integers(0, 2**64, 64, dtype=np.uint64) | np.uint64(1)
 SLOPE = DICE.integers(0, 2**64, 2 * HALVES * WIDTH, dtype=np.uint64) | np.uint64(1)
 SHIFT = DICE.integers(0, 2**64, 2 * HALVES * WIDTH, dtype=np.uint64)
 
@@ -103,7 +114,7 @@ def shingles(text: str | None, k: int) -> np.ndarray:
     n = len(words) - k + 1
     total = np.full(n, k, dtype=np.uint64)
     for i in range(k):
-        total += words[i : i + n] * PLACE[i % 64]
+        total += words[i : i + n] * FACTOR[i % 64]
         if k > 64:
             total = mixed(total)
     return np.unique(mixed(total))
@@ -117,7 +128,7 @@ def minhashes(s: np.ndarray) -> np.ndarray:
     pairs = low.reshape(2 * HALVES, WIDTH)
     total = np.zeros(2 * HALVES, dtype=np.uint64)
     for i in range(WIDTH):
-        total = mixed(total + pairs[:, i] * PLACE[i])
+        total = mixed(total + pairs[:, i] * FACTOR[i])
     return total.view(np.int64)
 
 
@@ -125,28 +136,28 @@ def set_name(s: np.ndarray) -> bytes:
     return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
 
 
-def signatures(docs: DataFrame, k: int) -> DataFrame:
+def signatures(docs: DataFrame, file: Column, row: Column, k: int) -> DataFrame:
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             sets = [shingles(t, k) for t in batch["text"]]
             marks = [minhashes(s) if len(s) else np.zeros(0, dtype=np.int64) for s in sets]
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "n": [len(s) for s in sets], "set_id": [set_name(s) for s in sets], "a": [m[:HALVES] for m in marks], "b": [m[HALVES:] for m in marks]})
+            yield pd.DataFrame({"file": batch["file"], "row": batch["row"], "doc_id": batch["doc_id"].astype("Int64"), "n": [len(s) for s in sets], "set_id": [set_name(s) for s in sets], "a": [m[:HALVES] for m in marks], "b": [m[HALVES:] for m in marks]})
 
-    given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return given.mapInPandas(sign, "doc_id long, n long, set_id binary, a array<long>, b array<long>")
+    given = docs.select(file.alias("file"), row.alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
+    return given.mapInPandas(sign, "file string, row long, doc_id long, n long, set_id binary, a array<long>, b array<long>")
 
 
 def full_sets(docs: DataFrame, needed: DataFrame, k: int) -> DataFrame:
-    """(id, s): the sets of the classes in needed (id, set_id), from the whole texts of their first documents."""
+    """(id, s): the sets of the classes in needed (id, file, row), from the whole texts of their first documents."""
 
     def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            sets = [shingles(t, k) for t in batch["text"]]
-            same = [set_name(s) == bytes(w) for s, w in zip(sets, batch["set_id"])]
-            yield pd.DataFrame({"id": batch["id"], "s": [s.view(np.int64) for s in sets]})[same]
+            yield pd.DataFrame({"id": batch["id"], "s": [shingles(t, k).view(np.int64) for t in batch["text"]]})
 
-    some = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(small(needed, BROADCAST_IDS), "id")
-    return some.mapInPandas(make, "id long, s array<long>").dropDuplicates(["id"])
+    meta = docs.metadataColumn("_metadata")
+    texts, flag = narrowed(docs.select(meta["file_path"].alias("file"), meta["row_index"].alias("row"), F.col("text")), [*PLACE], needed)
+    some = texts.filter(F.col(flag)).join(needed, [*PLACE]).select("id", "text")
+    return some.mapInPandas(make, "id long, s array<long>")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -168,10 +179,21 @@ def components(edges: DataFrame) -> DataFrame:
         edges = written(stars.distinct(), "links")
 
 
+def spread(rows: DataFrame, heads: DataFrame, key: str, salt: str, counted: DataFrame) -> DataFrame:
+    """rows joined to heads by key; a key with over `SPLIT` rows is dealt by salt over several tasks, each with a copy of its head.
+
+    counted: a written table with a row for each of rows, by which keys are counted."""
+    parts = written(counted.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / SPLIT).cast("int").alias("parts")).filter("parts > 1"), "hot-keys")
+    last = F.coalesce("parts", F.lit(1)) - 1
+    dealt = rows.join(parts, key, "left").withColumn("part", F.pmod(F.xxhash64(salt), last + 1).cast("int")).drop("parts")
+    copies = heads.join(parts, key, "left").withColumn("part", F.explode(F.sequence(F.lit(0), last))).drop("parts")
+    return dealt.join(copies, [key, "part"]).drop("part")
+
+
 def measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """pairs (x, y) with the sizes of both sets and of what they share."""
+    """pairs (x, y) with the sizes of both sets and of what they share. pairs should be written."""
     first = pairs.join(sets.select(F.col("id").alias("x"), F.col("s").alias("sx")), "x")
-    both = first.join(sets.select(F.col("id").alias("y"), F.col("s").alias("sy")), "y")
+    both = spread(first, sets.select(F.col("id").alias("y"), F.col("s").alias("sy")), "y", "x", pairs)
     return both.select("x", "y", F.size("sx").cast("long").alias("nx"), F.size("sy").cast("long").alias("ny"), F.size(F.array_intersect("sx", "sy")).cast("long").alias("both"))
 
 
@@ -192,78 +214,99 @@ def leaders(classes: DataFrame) -> DataFrame:
     sizes = written(rows.groupBy("key").agg(F.count(F.lit(1)).alias("m")).filter("m > 1"), "bucket-sizes")
     hits = written(rows.join(sizes, "key"), "bucket-rows")
     degree = written(hits.groupBy("id").agg(F.sum("m").alias("degree")), "degrees")
-    ranked = hits.select("id", "key").join(small(degree, BROADCAST_IDS), "id")
+    ranked = hits.select("id", "key").join(degree, "id")
     lead = written(ranked.groupBy("key").agg(F.max(F.struct("degree", (-F.col("id")).alias("id"))).alias("lead")).select("key", (-F.col("lead.id")).alias("y")), "bucket-leaders")
     return hits.select(F.col("id").alias("x"), "key").join(lead, "key").select("x", "y").filter("x <> y").distinct()
 
 
-def leftovers(stars: DataFrame, sets: DataFrame, roots: DataFrame) -> DataFrame | None:
-    """Pairs of members of one star, in different components, that could be linked: by prefix filter. None: no star has any."""
+def open_stars(stars: DataFrame, roots: DataFrame) -> DataFrame:
+    """(z, id, n, d, c) of members that could be linked to another member of their star z and aren't in one component with it."""
     union = F.col("nx") + F.col("ny") - F.col("both")
     root = roots.select(F.col("id").alias("x"), F.col("root").alias("rx"))
     lead = roots.select(F.col("id").alias("y"), F.col("root").alias("ry"))
-    rows = stars.join(root, "x", "left").join(lead, "y", "left").select(F.col("y").alias("z"), F.col("x").alias("id"), F.col("nx").alias("n"), F.col("both").alias("i"), (1 - F.col("both") / union).alias("d"), F.coalesce("rx", "x").alias("c"), F.coalesce("ry", "y").alias("cz"))
+    rows = stars.join(root, "x", "left").join(lead, "y", "left").select(F.col("y").alias("z"), F.col("x").alias("id"), F.col("nx").alias("n"), (1 - F.col("both") / union).alias("d"), F.coalesce("rx", "x").alias("c"), F.coalesce("ry", "y").alias("cz"))
     star = rows.groupBy("z").agg(F.count(F.lit(1)).alias("m"), F.min(F.when(F.col("c") != F.col("cz"), F.col("d"))).alias("near"))
     # tables that hot stars are joined to are written, so that the joins' sides are plain exchanges, which can be split
     star = written(star.filter("m > 1 and near is not null").select("z", "near"), "star-heads")
-    far = 1 - PERCENT / 100 + 1e-9
-    rest = written(rows.join(star, "z").filter((F.col("c") != F.col("cz")) | (F.col("near") <= F.col("d") + far)).select("z", "id", "n", "i", "d", "c"), "star-rest")
-    if rest.isEmpty():
-        return None
-    sided = rest.join(sets, "id").join(sets.select(F.col("id").alias("z"), F.col("s").alias("sz")), "z")
-    inside = F.transform(F.array_intersect("s", "sz"), lambda h: F.struct(h.alias("h"), F.lit(True).alias("led")))
-    outside = F.transform(F.array_except("s", "sz"), lambda h: F.struct(h.alias("h"), F.lit(False).alias("led")))
-    each = sided.select("z", "id", "n", "i", "d", "c", F.inline(F.concat(inside, outside)))
+    return rows.join(star, "z").filter((F.col("c") != F.col("cz")) | (F.col("near") <= F.col("d") + FAR)).select("z", "id", "n", "d", "c")
+
+
+def prefixes(rest: DataFrame, sets: DataFrame) -> DataFrame:
+    """(z, h, id, n, r, k, d, c): the shingles by which members of a star can meet.
+
+    Shingles rank by the number of the star's members that have them, rarest first. r of a member's n are
+    others' too; k is the rank in the member. Linked sets share one of their first n - ceil(0.8 n) + 1."""
+    each = rest.join(sets, "id").select("z", "id", "n", "d", "c", F.explode("s").alias("h"))
     held = written(each.groupBy("z", "h").agg(F.count(F.lit(1)).alias("df")).filter("df > 1"), "star-held")
     own = Window.partitionBy("z", "id")
     # shingles that no other member has are the rarest: they only shift the ranks of the others
     ranked = each.join(held, ["z", "h"]).withColumn("r", F.count(F.lit(1)).over(own)).withColumn("k", F.col("n") - F.col("r") + F.row_number().over(own.orderBy("df", "h")))
     smallest = F.ceil(F.col("n") * PERCENT / 100)
-    # members that share with each other mostly what the leader has meet by prefixes; others by what it hasn't
-    by_prefix = (F.col("k") <= F.col("n") - smallest + 1) & (F.col("i") >= need(F.col("n"), smallest))
-    keys = ranked.filter((F.col("r") >= need(F.col("n"), smallest)) & (by_prefix | ~F.col("led")))
-    keys = written(keys.select("z", "h", "id", "n", "r", "i", "d", "c", by_prefix.alias("p"), "led"), "star-keys")
-    # what a member shares with others of the star is at most r, and a link needs `need` in common
+    return ranked.filter((F.col("k") <= F.col("n") - smallest + 1) & (F.col("r") >= need(F.col("n"), smallest))).select("z", "h", "id", "n", "r", "k", "d", "c")
+
+
+def meeting(keys: DataFrame) -> DataFrame:
+    """Distinct pairs (x, y) of members that meet in a shingle, in different components, and could be linked by their sizes and ranks."""
+    left = F.col("n") - F.col("k") + 1  # what a member has from this rank on: a pair shares no more, where this is its first meeting
+    # what a member shares with others of the star is at most r
     for _ in range(2):
         lists = keys.groupBy("z", "h").agg(F.min("n").alias("least"), F.min("c").alias("c1"), F.max("c").alias("c2"))
         lists = written(lists.filter("c1 <> c2").select("z", "h", "least"), "star-lists")
         partner = F.greatest(F.col("least"), F.ceil(F.col("n") * PERCENT / 100))
-        keys = written(keys.join(lists, ["z", "h"]).filter((F.col("r") >= need(F.col("n"), partner)) & (~F.col("led") | (F.col("i") >= need(F.col("n"), partner)))).drop("least"), "star-keys")
-    right = keys.select("z", "h", *(F.col(c).alias(f"{c}2") for c in ("id", "n", "r", "i", "d", "c", "p")))
+        keys = written(keys.join(lists, ["z", "h"]).filter(F.least(F.col("r"), left) >= need(F.col("n"), partner)).drop("least"), "star-keys")
+    # of a list's largest component only the meetings with others matter, so its members are on one side alone
+    sized = keys.groupBy("z", "h", "c").agg(F.count(F.lit(1)).alias("m"))
+    main = written(sized.groupBy("z", "h").agg(F.max_by("c", F.struct("m", "c")).alias("main")), "star-mains")
+    others = keys.join(main, ["z", "h"]).filter("c <> main")
+    right = keys.select("z", "h", *(F.col(c).alias(f"{c}2") for c in ("id", "n", "r", "k", "d", "c")))
     wanted = need(F.col("n"), F.col("n2"))
-    near = (F.col("id") < F.col("id2")) & (F.col("c") != F.col("c2")) & (F.abs(F.col("d") - F.col("d2")) <= far) & (100 * F.least("n", "n2") >= PERCENT * F.greatest("n", "n2"))
-    met = ~F.col("led") | (F.col("p") & F.col("p2") & (F.least("i", "i2") >= wanted))
-    return keys.join(right, ["z", "h"]).filter(near & (F.least("r", "r2") >= wanted) & met).select(F.col("id").alias("x"), F.col("id2").alias("y")).distinct()
-
-
-def near_duplicates(docs: DataFrame, k: int = 4) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept of each row of docs."""
-    signed = written(signatures(docs, k), "signatures", TEXT_ROWS)
-    heads = signed.filter("n > 0 and doc_id is not null").groupBy("n", "set_id").agg(F.min(F.struct("doc_id", "a", "b")).alias("v"))
-    classes = written(heads.select(F.col("v.doc_id").alias("id"), "set_id", "v.a", "v.b"), "classes")
+    once = (F.col("c2") == F.col("main")) | (F.col("id") < F.col("id2"))
+    near = (F.col("c") != F.col("c2")) & (F.abs(F.col("d") - F.col("d2")) <= FAR) & (100 * F.least("n", "n2") >= PERCENT * F.greatest("n", "n2"))
+    could = (F.least("r", "r2") >= wanted) & (F.least(F.col("n") - F.col("k"), F.col("n2") - F.col("k2")) + 1 >= wanted)
+    met = others.join(right, ["z", "h"]).filter(once & near & could)
+    return met.select(F.least("id", "id2").alias("x"), F.greatest("id", "id2").alias("y")).distinct()
+
+
+def linked_documents(docs: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
+    """docs as files, and file, row, doc_id, n of each row with the first row of its component (top: no_id, doc_id, file, row; null for empty sets)."""
+    docs, file, row = placed(docs, new_path(docs.sparkSession, "near-docs"))
+    signed = written(signatures(docs, file, row, k), "signatures", TEXT_ROWS)
+    first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "file", "row")
+    heads = signed.filter("n > 0").groupBy("n", "set_id").agg(F.min(F.struct(first.alias("top"), "a", "b")).alias("v"))
+    # numbered as they are written: classes have names even where rows repeat an identifier or have none
+    classes = written(heads.select(F.monotonically_increasing_id().alias("id"), "set_id", "v.top", "v.a", "v.b"), "classes")
     pairs = written(leaders(classes), "pairs")
     wanted = pairs.select(F.col("x").alias("id")).unionByName(pairs.select(F.col("y").alias("id"))).distinct()
-    needed = written(classes.select("id", "set_id").join(wanted, "id"), "needed")
+    needed = written(classes.select("id", "top.file", "top.row").join(wanted, "id"), "needed")
     sets = written(full_sets(docs, needed, k), "sets", TEXT_ROWS)
     stars = written(measured(pairs, sets), "stars")
-    links = stars.filter(linked()).select("x", "y")
-    roots = components(links)
-    more = leftovers(stars, sets, roots)
-    if more is not None:
-        found = written(measured(written(more, "rest-pairs"), sets).filter(linked()).select("x", "y"), "rest-links")
+    roots = components(stars.filter(linked()).select("x", "y"))
+    rest = written(open_stars(stars, roots), "star-rest")
+    if not rest.isEmpty():
+        more = written(meeting(prefixes(rest, sets)), "rest-pairs")
+        found = written(measured(more, sets).filter(linked()).select("x", "y"), "rest-links")
         if not found.isEmpty():
             roots = components(roots.select(F.col("id").alias("x"), F.col("root").alias("y")).unionByName(found))
-    named = classes.select("id", "set_id").join(roots, "id", "left").select("set_id", F.coalesce("root", "id").alias("root"))
-    rows = signed.select("doc_id", "n", F.when(F.col("n") > 0, F.col("set_id")).alias("set_id")).join(named, "set_id", "left")
-    component = F.coalesce("root", "doc_id")
+    named = written(classes.select("id", "set_id", "top").join(roots, "id", "left").select("set_id", "top", F.coalesce("root", "id").alias("root")), "named")
+    tops = written(named.groupBy("root").agg(F.min("top").alias("top")), "tops")
+    by_set = named.select("set_id", "root").join(tops, "root").drop("root")
+    rows = signed.select("file", "row", "doc_id", "n", F.when(F.col("n") > 0, F.col("set_id")).alias("set_id"))
+    return docs, rows.join(by_set, "set_id", "left").drop("set_id")
+
+
+def near_duplicates(docs: DataFrame, k: int = 4) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept of each row of docs."""
+    rows = linked_documents(docs, k)[1]
+    component = F.when(F.col("top").isNull(), F.col("doc_id")).otherwise(F.col("top.doc_id"))
     return rows.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
-def keep_one(docs: DataFrame, k: int = 5) -> DataFrame:
-    """The rows of docs that stay, one document of each component, with all their columns."""
-    stay = written(near_duplicates(docs, k).filter("kept").select(F.col("doc_id").alias("_stay")).distinct(), "near-stay")
-    return docs.join(small(stay, BROADCAST_IDS), F.col("doc_id").cast("long").eqNullSafe(F.col("_stay")), "left_semi")
+def keep_one(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
+    """One row of docs of each component, with all its columns: that with the smallest identifier, of those the first."""
+    docs, rows = linked_documents(docs, k)
+    gone = rows.filter(F.col("top").isNotNull() & ((F.col("file") != F.col("top.file")) | (F.col("row") != F.col("top.row"))))
+    return without(docs, written(gone.select(*PLACE), "near-gone"))
 
 
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(table(spark, sf_dir, "documents"), 4)

@@ -11,9 +11,13 @@ over it estimates each labeler's reliability per kind; its posteriors train a lo
 classifier over votes and shape, which is compiled into one Column expression. Base matches stay
 whatever the classifier says; looser candidates are added where it is sure and their check doesn't fail.
 
-Offsets are code points, end exclusive. Defined results: null and empty texts have no spans; repeated
-rows give repeated results; an empty table gives no rows and the classifier falls back on its prior;
-other columns of the input don't matter.
+Texts are scanned once: candidates with their votes are written, and both the counts and the result read them.
+
+Offsets are code points, end exclusive. Defined results: null and empty texts have no spans; texts of any
+length are scanned whole (offsets are summed in chunks, so that very many matches stay cheap); repeated
+rows count once each and give repeated results; of looser candidates of one kind that overlap a base span
+none is added, ties in start go by end; an empty table gives no rows and the classifier falls back on its
+prior; other columns of the input, whatever their names, don't matter.
 """
 
 from __future__ import annotations
@@ -23,7 +27,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, located, table
+from .common import cut, located, table, written
 
 KINDS = ("email", "ip", "card", "phone")
 #: Base patterns. Lookbehinds and possessive quantifiers change no match; they keep long runs linear.
@@ -53,10 +57,12 @@ ANCHOR = 50
 CHANCE = {"card": 0.1}
 
 # Words and prefixes of the gazetteers and context labelers.
-TLDS = ["com", "org", "net", "edu", "gov", "io", "de", "fr", "es", "uk", "eu", "info", "co", "us", "it", "nl", "ch", "at", "biz", "dev"]
+TLDS = ["com", "org", "net", "edu", "gov", "mil", "int", "arpa", "info", "biz", "name", "pro", "aero", "coop", "museum", "jobs", "mobi", "travel", "tel", "cat", "asia", "post", "xxx", "app", "dev", "blog", "cloud", "email", "online", "page", "shop", "site", "store", "tech", "web", "xyz", "club", "group", "agency", "news", "media", "world", "today", "live", "life", "work", "team", "company", "solutions", "systems", "services", "network", "digital", "software", "academy", "berlin", "london", "paris", "wien", "nyc", "tokyo"]
+#: Domains of countries: two letters, whichever.
+COUNTRY = "^[a-z]{2}$"
 WORDS = {"email": r"e-?mail|mail(to)?|contact|write|reply|correo|courriel", "ip": r"\bip(s|v[46])?\b|addr|host|server|login|client|from", "card": r"card|visa|master|amex|pay|credit|karte|tarjeta|carte", "phone": r"tel|phone|call|fax|mobile|cell|whatsapp|numm?er|contact"}
 AGAINST = {"email": r"example|image|retina", "ip": r"version|release|build|\bv$", "card": r"isbn|order|serial|tracking|invoice", "phone": r"isbn|order|serial|version|invoice|part"}
-PREFIX = {"card": r"^(4|5[1-5]|2[2-7]|3[47]|3(0[0-5]|[689])|2131|1800|6011|65)", "phone": r"^\+?[(]?[1-9]", "ip": r"^(10\.|127\.|192\.168\.|172\.(1[6-9]|2[0-9]|3[01])\.)|^(?i:2[0-9a-f]{3}|3[0-9a-f]{3}|fe80|f[cd][0-9a-f]{2}):|^::1$"}
+PREFIX = {"card": r"^(4|5[1-5]|2[2-7]|3[47]|3(0[0-5]|[689])|2131|1800|6011|65)", "phone": r"^\+(1|7|2(0|7|1[1-368]|[2-6][0-9]|9[0-17-9])|3([0-469]|[578][0-9])|4([013-9]|2[013])|5([1-8]|0[0-9]|9[0-9])|6([0-6]|7[02-9]|8[0-35-9]|9[0-2])|8([1246]|0[08]|5[02356]|7[08]|8[0-368])|9([0-58]|6[0-8]|7[0-7]|9[2-68]))|^[(]?[2-9]", "ip": r"^(10\.|127\.|192\.168\.|172\.(1[6-9]|2[0-9]|3[01])\.)|^(?i:2[0-9a-f]{3}|3[0-9a-f]{3}|fe80|f[cd][0-9a-f]{2}):|^::1$"}
 
 
 def digits(m: Column) -> Column:
@@ -102,7 +108,8 @@ def voted(kind: str, c: Column, base: bool) -> Column:
     n = F.length(digits(m))
     good = valid(kind, m) if base else F.lit(False)
     check = {"email": vote(F.lower(m).rlike(r"(\.|dot[\])]\x20?)[a-z]{2,24}$"), ~F.lower(m).rlike(r"[a-z]{2,24}$")), "ip": vote(valid("ip", m), ~valid("ip", m)) if base else sound_ip(m), "card": vote(n.between(13, 19) & F.when(n.between(13, 19), luhn(digits(m))).otherwise(False), F.lit(True)), "phone": vote(n.between(8, 15), F.lit(True))}[kind]
-    known = F.regexp_extract(F.lower(m), r"([a-z]+)$", 1).isin(TLDS) if kind == "email" else {"card": digits, "ip": plain_ip}.get(kind, lambda x: x)(m).rlike(PREFIX[kind])
+    domain = F.regexp_extract(F.lower(m), r"([a-z]+)$", 1)
+    known = domain.isin(TLDS) | domain.rlike(COUNTRY) if kind == "email" else {"card": digits, "ip": plain_ip}.get(kind, lambda x: x)(m).rlike(PREFIX[kind])
     shape = F.when(n == 0, 0).when(n < 8, 1).when(n < 13, 2).otherwise(3)
     form = vote(good, ~good if kind != "card" else ~good & ~digits(m).rlike(LOOSE_CARD)) if base else F.lit(0)
     return F.struct(
@@ -120,7 +127,7 @@ NO_CUTS = "cast(array() as array<struct<p:string,m:string>>)"
 
 def candidates(docs: DataFrame) -> DataFrame:
     """doc_id and, per kind, the candidates with their votes: base ones and looser ones clear of them."""
-    rows = docs.select(F.col("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    rows = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
     numbers = F.col("text").rlike("[0-9]{1}")
     cuts = [F.when(F.contains(F.col("text"), F.lit(HINT[k])) if HINT[k] else numbers, cut(F.col("text"), BASE[k])).otherwise(F.expr(NO_CUTS)).alias(f"b_{k}") for k in KINDS]
     brackets = F.col("text").rlike(r"[0-9]\x20?[\[(](?:\.|dot)[\])]")
@@ -219,7 +226,7 @@ def _sure(kind: str, weights: dict[str, float], sure: float):
 
 def find_pii(spark: SparkSession, docs: DataFrame, sure: float = SURE) -> DataFrame:
     """doc_id, base and added spans per kind: arrays of (s, e), ordered by start."""
-    found = candidates(docs)
+    found = written(candidates(docs), "pii-candidates")  # narrow; texts are scanned once, not for the counts and again for the result
     rows = patterns(found)
     _, post = reliabilities(rows)
     weights = span_classifier(rows, post)

@@ -60,11 +60,83 @@ def test_pii_base(spark):
 
 def test_pii_adds_what_it_is_sure_of(spark):
     texts = ["call +1 499 555 6503 or tel +44 20 7946 0958"] * 40 + ["phone: 499-555-6503 today", "version 499-555-6503", "mail jane (at) mail (dot) com"]
-    rows = pii.find_pii(spark, docs(spark, texts)).collect()
+    rows = pii.find_pii(spark, docs(spark, texts)).orderBy("doc_id").collect()
     assert all(not r.added_phone for r in rows[:40])
-    text = texts[40]
-    assert [text[x.s : x.e] for x in rows[40].added_phone] in ([], ["499-555-6503"])
+    assert [texts[40][x.s : x.e] for x in rows[40].added_phone] == ["499-555-6503"]
     assert not rows[41].added_phone
+    assert [texts[42][x.s : x.e] for x in rows[42].added_email] == ["jane (at) mail (dot) com"]
+
+
+def test_pii_edges(spark):
+    """Empty tables, repeated rows, null identifiers, clashing columns; one scan of the texts in the plan."""
+    assert pii.find_pii(spark, docs(spark, []).selectExpr("*", "1 as taken")).count() == 0
+    text = "card 4111 1111 1111 1111 of jane@mail.com"
+    d = spark.createDataFrame([(1, text), (1, text), (None, text), (2, None)], "doc_id long, text string").selectExpr("*", "1 as b_email", "2 as _taken", "3 as kind", "4 as l_card", "5 as p")
+    got = sorted((r.doc_id or -1, len(r.base_card), len(r.base_email)) for r in pii.find_pii(spark, d).collect())
+    assert got == [(-1, 1, 1), (1, 1, 1), (1, 1, 1), (2, 0, 0)]
+    out = pii.op1_pii(spark, SF)
+    assert not re.search(r"\btext#", out._jdf.queryExecution().optimizedPlan().toString())  # the result is read from the candidates
+
+
+def entropy_brute(s):
+    """The windows of s that look random, each measured by itself."""
+    n, found = min(secrets.WINDOW, len(s)), []
+    free = secrets.loose(s)
+    for i in range(len(s) - n + 1):
+        w = s[i : i + n]
+        classes = {k: [c for c in w if secrets.class_of(c) == k] for k in ("lower", "upper", "digit")}
+        mixed = {k: v for k, v in classes.items() if v}
+        if len(mixed) < 2 or 2 * (free[i + n] - free[i]) < n:
+            continue
+        whole_hex = all(c in "0123456789abcdefABCDEF" for c in w)
+        letters = 6 if whole_hex else 26
+        sizes = {k: 10 if k == "digit" else letters for k in mixed}
+        alphabet = 16 if whole_hex else sum(sizes.values()) + (2 if any(secrets.class_of(c) == "symbol" for c in w) else 0)
+
+        def bits(x):
+            return -sum(c / len(x) * np.log2(c / len(x)) for c in Counter(x).values())
+
+        if bits(w) >= secrets.floor_of(n, alphabet) - 1e-9 and all(bits(v) >= secrets.floor_of(len(v), sizes[k]) - 1e-9 for k, v in mixed.items()):
+            found.append((i, i + n))
+    out = []
+    for a, b in found:
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], b)
+        else:
+            out.append((a, b))
+    return out
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_entropy_windows_equal_brute_force(seed):
+    dice = random.Random(seed)
+    pools = ["abcdef0123456789", "ABCDEF0123456789", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-", "aabbccdd0011AAxx", "abc1"]
+    for _ in range(150):
+        s = "".join("".join(dice.choices(dice.choice(pools), k=dice.randrange(1, 40))) for _ in range(dice.randrange(1, 4)))
+        if len(s) >= secrets.SHORTEST:
+            assert secrets.suspicious(s) == entropy_brute(s), s
+
+
+@pytest.mark.parametrize(("n", "symbols"), [(20, 62), (16, 16), (8, 10)])
+def test_entropy_floors_are_quantiles(n, symbols):
+    dice = np.random.default_rng(n)
+    draws = dice.integers(0, symbols, (40_000, n))
+    counts = np.stack([(draws == k).sum(axis=1) for k in range(symbols)], axis=1)
+    p = counts / n
+    entropy = -(np.where(p > 0, p * np.log2(np.where(p > 0, p, 1)), 0)).sum(axis=1)
+    assert (entropy < secrets.floor_of(n, symbols)).mean() <= 2 * secrets.TAIL
+
+
+def test_secrets_added_spans_and_edges(spark):
+    key = "q7Rk2mZx9WbT4vLs8NcP"
+    texts = [f"see {key} and {key}, \U0001f600 {key}", f"token={key}", None, f"see {key}"]
+    d = docs(spark, [*texts, texts[3]]).selectExpr("*", "1 as base", "2 as added", "3 as start")
+    rows = {r.doc_id: [texts[min(r.doc_id, 3)][x.start : x.end] for x in r.added] for r in secrets.find_secrets(d).collect()}
+    assert rows == {0: [key] * 3, 1: [], 2: [], 3: [key], 4: [key]}
+    assert secrets.find_secrets(d.limit(0)).count() == 0
+    long_ = " ".join(["word"] * 100_000 + [key])
+    (r,) = secrets.find_secrets(docs(spark, [long_])).collect()
+    assert [(x.start, x.end) for x in r.added] == [(500_000, 500_020)]
 
 
 def test_pii_adds_cards_and_addresses_beyond_base(spark):
@@ -232,6 +304,18 @@ def test_language_learns_from_long_texts_where_there_are_no_others(spark):
     assert {r.doc_id: r.lang_pred for r in language.identify(d).collect()}[1000] == "de"
 
 
+def test_language_sample_is_bounded(spark, monkeypatch):
+    rows = [(i, f"text number {i} of this language", f"l{i % 40:02}") for i in range(2000)] + [(3000 + i, "rare", "x") for i in range(4)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string").selectExpr("*", "1 as _lang", "2 as _id", "3 as over", "4 as h", "5 as k")
+    monkeypatch.setattr(language, "LANGUAGES", 10)
+    monkeypatch.setattr(language, "SAMPLE_TOTAL", 1_500)
+    got = language.sample(d)
+    assert len(got) == 10 and "x" not in got and all(got.values())
+    assert sum(len(t) for v in got.values() for t in v) <= 1_500
+    monkeypatch.setattr(language, "SAMPLE_TOTAL", 20)
+    assert all([len(t) for t in v] == [2] for v in language.sample(d).values())
+
+
 def test_language_edges(spark, monkeypatch):
     rows = [(1, None, "en"), (2, "", "en"), (3, "123 ?!", "de"), (4, "the house", None)]
     d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
@@ -262,6 +346,41 @@ def test_quality_rules_are_what_is_compiled(spark):
         assert r.s == pytest.approx(1 / (1 + np.exp(-total)))
 
 
+def counted_by_hand(text):
+    import regex
+
+    t = text or ""
+    words = [w for w in re.split(r"[\x20\x09-\x0d]+", t) if w]
+    lines = t.split("\n")
+    found = {"n": len(t), "words": len(words), "distinct_words": len(set(words)), "lines": len(lines), "distinct_lines": len(set(lines))}
+    found |= {"marks": sum(not regex.match(r"[\p{L}\p{N}.,]|[\x20\t-\r]", c) for c in t), "upper": len(regex.findall(r"\p{Lu}", t)), "digits": len(re.findall("[0-9]", t)), "stops": t.count(".") + t.count(","), "letters": len(regex.findall(r"\p{L}", t))}
+    return found
+
+
+def test_quality_statistics(spark):
+    dice = random.Random(2)
+    texts = [None, "", "\n\n", "Ünï Ünï. 12, x\ty\nx\ty", "\U0001f600 A!? \u00a0 b", *("".join(dice.choice("aB1 .,\n\té!") for _ in range(dice.randrange(300))) for _ in range(40)), "a b\n" * 50_000]
+    counts = quality.statistics(F.col("text"))
+    got = {r.doc_id: r for r in docs(spark, texts).select("doc_id", *(c.alias(k) for k, c in counts.items())).collect()}
+    made = {r.doc_id: r for r in quality.with_features(docs(spark, texts), "doc_id").collect()}
+    for i, t in enumerate(texts):
+        want = counted_by_hand(t)
+        assert {k: got[i][k] for k in want} == want, t
+        share = lambda a, b: want[a] / max(want[b], 1)
+        by_hand = {"log_words": np.log(want["words"] + 1), "word_length": share("n", "words"), "distinct_words": share("distinct_words", "words"), "distinct_root": want["distinct_words"] / max(np.sqrt(want["words"]), 1), "distinct_lines": share("distinct_lines", "lines"), "words_a_line": share("words", "lines")}
+        by_hand |= {"marks": share("marks", "n"), "marks_a_word": share("marks", "words"), "upper": share("upper", "letters"), "digits": share("digits", "n"), "stops": share("stops", "words"), "letters": share("letters", "n")}
+        assert {k: made[i][f"_f_{k}"] for k in by_hand} == pytest.approx(by_hand), t
+
+
+def test_quality_columns_may_clash(spark):
+    d, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    odd = d.selectExpr("*", "1 as _y", "2 as _f_upper", "3 as _F_c_n", "4 as _id", "5 as _score", "6 as quality")
+    kept = quality.keep_good(odd, labels)
+    assert kept.columns == odd.columns
+    assert {r.doc_id for r in kept.collect()} == {r.doc_id for r in quality.keep_good(d, labels).collect()}
+    assert quality.scored(odd, labels, ("doc_id", "_score")).columns == ["doc_id", "_score", "score", "predicted"]
+
+
 def test_quality_edges(spark):
     d = docs(spark, [None, "", "word", "x" * 300000]).selectExpr("*", "1 as _score", "2 as quality")
     labels = spark.createDataFrame([(0, 1, 0), (0, None, 0), (None, 1, 1), (99, 0, 0)], "doc_id long, quality int, toxic int")
@@ -355,6 +474,43 @@ def test_token_counts_keep_every_identifier(spark):
     assert Counter(r.doc_id for r in rows) == Counter(ids) and all(r.n_tokens > 0 for r in rows)
 
 
+def sections_brute(text, rule):
+    """Each line's tokens and crossing tokens, from the library's own offsets, one token and one line at a time (ASCII texts)."""
+    from tokenizers import Tokenizer
+
+    lines = text.splitlines(keepends=True) or [""]
+    ends = np.cumsum([len(x) for x in lines])
+    counts = [[0, 0] for _ in lines]
+    for a, b in Tokenizer.from_file(default_path()).encode(text, add_special_tokens=False).offsets:
+        inside = [max(0, min(b, int(e)) - max(a, int(e) - len(x))) for x, e in zip(lines, ends)]
+        held = [i for i, n in enumerate(inside) if n]
+        own = held[0] if rule == "first" else held[-1] if rule == "last" else inside.index(max(inside))
+        counts[own][0] += 1
+        counts[own][1] += len(held) > 1
+    return [tuple(c) for c in counts]
+
+
+@pytest.mark.parametrize("rule", token_counts.RULES)
+def test_token_counts_equal_brute_force(spark, rule):
+    dice = random.Random(6)
+    texts = ["".join(dice.choice(["\n", "\n\n\n", "  \n ", "word ", "Token", " the", "12", "\n    "]) for _ in range(dice.randrange(1, 60))) for _ in range(60)]
+    rows = token_counts.token_counts(docs(spark, [*texts, texts[0] * 20]), rule=rule).collect()
+    crossing = 0
+    for i, t in enumerate([*texts, texts[0] * 20]):
+        own = [(r.n_tokens, r.n_crossing) for r in sorted((r for r in rows if r.doc_id == i), key=lambda r: r.section)]
+        assert own == sections_brute(t, rule), t[:200]
+        crossing += sum(c for _, c in own)
+    assert crossing > 20
+
+
+def test_token_counts_edges(spark):
+    d = docs(spark, ["a b\nc", "a b\nc", None])
+    same = d.selectExpr("cast(1 as bigint) as doc_id", "text", "2 as field", "3 as n_tokens", "4 as _id", "5 as _null", "6 as _0")
+    got = Counter((r.section, r.start, r.end, r.n_tokens) for r in token_counts.token_counts(same).collect())
+    assert got[1, 4, 5, 1] == 2 and got[0, 0, 0, 0] == 1
+    assert token_counts.token_counts(d.limit(0)).count() == 0
+
+
 @pytest.mark.parametrize(("rule", "want"), [("first", [0, 0, 2]), ("last", [0, 2, 2]), ("most", [0, 1, 2])])
 def test_boundary_rules(rule, want):
     own, crossing = token_counts.owners(np.array([3, 12, 13]), np.array([4, 10, 13]), rule)

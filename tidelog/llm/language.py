@@ -15,8 +15,9 @@ Folding: A-Z to a-z, digits to one symbol, white space to one symbol, bytes that
 one "other" symbol.
 
 Defined results: null texts and texts without a letter are `und` with score 0; ties go to the language
-whose code sorts first; with nothing to learn from, all are `und`; repeated rows are predicted each; an
-empty table gives no rows; other columns don't matter.
+whose code sorts first; with nothing to learn from, all are `und`; texts of any length are scored whole,
+every byte of them; repeated rows are learned from once and predicted each; an empty table gives no rows;
+other columns, whatever their names, don't matter.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import held_out, small, table, written
+from .common import held_out, table, written
 
 #: At most so many rows of each language are learned from.
 SAMPLE = 250
@@ -39,8 +40,9 @@ ORDER = 3
 SLICE = 8
 #: Bytes of text that are scored at once.
 BLOCK = 1 << 20
-#: Counts by language are broadcast up to this many languages.
-BROADCAST_LANGS = 10_000
+#: At most so many languages are learned, those with the most labelled rows, from so many characters in all, shared evenly: what a column of dirty codes costs is bounded.
+LANGUAGES = 1_000
+SAMPLE_TOTAL = 64_000_000
 
 
 def folded() -> np.ndarray:
@@ -53,21 +55,26 @@ def folded() -> np.ndarray:
 
 
 def sample(docs: DataFrame, most: int = SAMPLE) -> dict[str, list[str]]:
-    """Texts to learn from, by language: of each, those whose identifiers' hashes are smallest."""
-    fit = F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id"))
-    over = F.length("text") > SAMPLE_CHARS
-    rows = docs.filter(fit).select("lang", F.xxhash64("doc_id").alias("h"), F.col("doc_id").alias("id"), over.alias("over")).distinct()
+    """Texts to learn from, by language: of each, those whose identifiers' hashes are smallest, within its share of `SAMPLE_TOTAL`."""
+    given = docs.select(F.col("doc_id").alias("id"), "lang", "text").filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("id")))
+    size = F.length("text")
+    rows = given.select("lang", F.xxhash64("id").alias("h"), "id", (size > SAMPLE_CHARS).alias("over"), F.least(size, F.lit(SAMPLE_CHARS)).alias("size")).groupBy("lang", "h", "id", "over").agg(F.min("size").alias("size"))
+    rows = written(rows, "language-rows")
     shares = rows.groupBy("lang").agg(F.count_if(~F.col("over")).alias("short"), F.count_if("over").alias("long"))
     counted = shares.select("lang", (F.col("short") == 0).alias("only_over"), F.when(F.col("short") > 0, F.col("short")).otherwise(F.col("long")).alias("n"))
+    counted = written(counted.orderBy(F.col("n").desc(), "lang").limit(LANGUAGES), "language-counts")
+    share = SAMPLE_TOTAL // max(1, counted.count())
     best = Window.partitionBy("lang").orderBy("h", "id")
     # hashes are uniform: twice the wanted share is cut out first, so that ranking sees few rows
-    near = rows.join(small(written(counted, "language-counts"), BROADCAST_LANGS), "lang").filter(F.col("over") == F.col("only_over")).filter((F.col("n") <= 4 * most) | (F.col("h") < -(2.0**63) + 2.0**64 * 2 * most / F.col("n")))
-    chosen = near.withColumn("k", F.row_number().over(best)).filter(F.col("k") <= most).select(F.col("id").alias("_id"), F.col("lang").alias("_lang"), F.col("over").alias("_over")).distinct()
-    picked = docs.join(F.broadcast(chosen), (docs["doc_id"] == F.col("_id")) & (docs["lang"] == F.col("_lang"))).filter(fit & (over == F.col("_over")))
-    picked = picked.groupBy("_lang", "_id").agg(F.min(F.substring("text", 1, SAMPLE_CHARS)).alias("text"))  # bounded: most rows a language, repeated rows count once
+    near = rows.join(F.broadcast(counted), "lang").filter(F.col("over") == F.col("only_over")).filter((F.col("n") <= 4 * most) | (F.col("h") < -(2.0**63) + 2.0**64 * 2 * most / F.col("n")))
+    ranked = near.withColumn("k", F.row_number().over(best)).withColumn("upto", F.sum("size").over(best.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    chosen = ranked.filter(F.col("k") <= most).filter((F.col("k") == 1) | (F.col("upto") <= share)).select("id", "lang", "over")
+    # at most `SAMPLE` rows of each of `LANGUAGES` languages: identifiers and codes alone
+    picked = given.withColumn("over", size > SAMPLE_CHARS).join(F.broadcast(chosen), ["id", "lang", "over"])
+    picked = picked.groupBy("lang", "id").agg(F.min(F.substring("text", 1, min(SAMPLE_CHARS, max(1, share)))).alias("text"))  # repeated rows count once
     out: dict[str, list[str]] = {}
-    for r in picked.collect():
-        out.setdefault(r["_lang"], []).append(r["text"])
+    for r in picked.collect():  # at most SAMPLE_TOTAL characters, and one text a language
+        out.setdefault(r["lang"], []).append(r["text"])
     return {k: sorted(v) for k, v in sorted(out.items())}
 
 

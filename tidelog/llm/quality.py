@@ -5,10 +5,12 @@ labelled rows (`SAMPLE` rows, chosen by a hash of the identifier); every path fr
 a conjunctive rule. A logistic model with lasso penalty weighs the rules, most weights become zero, and
 the others are compiled into one Column expression, so scoring is a scan without Python.
 
-Defined results: null and empty texts are scored by statistics of zero; repeated rows are scored each;
-null labels and labels of unknown documents are ignored; several labels of one document count as their
-largest; with no labels, or one class only, every score is the smoothed share of good rows; an empty
-table gives no rows; other columns are kept by `keep_good` and ignored otherwise.
+Defined results: null and empty texts are scored by statistics of zero, texts of any length by statistics
+of all of them; repeated rows are scored each; of labelled rows that repeat an identifier the one with the
+smallest statistics is learned from; ties in the sample's order go by identifier; null labels and
+labels of unknown documents are ignored; several labels of one document count as their largest; with no
+labels, or one class only, every score is the smoothed share of good rows; an empty table gives no rows;
+other columns, whatever their names, are kept by `keep_good` and ignored otherwise.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import held_out, table
+from .common import fresh, held_out, table
 
 #: At most so many labelled rows are learned from.
 SAMPLE = 8_000
@@ -66,21 +68,30 @@ def features(counts: dict[str, Column]) -> dict[str, Column]:
 NAMES = ("log_words", "word_length", "distinct_words", "distinct_root", "distinct_lines", "words_a_line", "marks", "marks_a_word", "upper", "digits", "stops", "letters")
 
 
-def with_features(docs: DataFrame, *keep: Column | str) -> DataFrame:
-    """keep and the statistics, computed once per text."""
+def with_features(docs: DataFrame, *keep: str, prefix: str = "_f_") -> DataFrame:
+    """The columns of keep, and the statistics, computed once per text, with a prefix that none of these begins with."""
     counts = statistics(F.col("text"))
-    counted = docs.select(*keep, *(c.alias(f"_c_{k}") for k, c in counts.items()))
-    names = counted.columns[: len(counted.columns) - len(counts)]
-    made = features({k: F.col(f"_c_{k}") for k in counts})
-    return counted.select(*names, *(made[k].alias(f"_f_{k}") for k in NAMES))
+    own = [F.col(f"`{c}`") for c in keep]
+    counted = docs.select(*own, *(c.alias(f"{prefix}c_{k}") for k, c in counts.items()))
+    made = features({k: F.col(f"{prefix}c_{k}") for k in counts})
+    return counted.select(*own, *(made[k].alias(f"{prefix}{k}") for k in NAMES))
+
+
+def unused(columns: list[str]) -> str:
+    """A prefix that none of the columns begins with."""
+    prefix = "_f_"
+    while any(c.lower().startswith(prefix) for c in columns):
+        prefix = "_" + prefix
+    return prefix
 
 
 def labelled(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, np.ndarray]:
     """Statistics and labels of at most sample rows that may be learned from."""
     ids = labels.select(F.col("doc_id").cast("long").alias("_id"), F.col("quality").cast("int").alias("_y")).filter(F.col("_id").isNotNull() & F.col("_y").isin(0, 1) & ~held_out(F.col("_id")))
     chosen = ids.groupBy("_id").agg(F.max("_y").alias("_y")).orderBy(F.xxhash64("_id"), "_id").limit(sample)
-    some = docs.join(F.broadcast(chosen), docs["doc_id"].cast("long") == chosen["_id"])  # at most sample rows of two numbers
-    rows = with_features(some, "_id", "_y").dropDuplicates(["_id"]).collect()  # repeated rows count once, so the bound holds
+    given = docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("text"))
+    some = given.join(F.broadcast(chosen), "_id")  # at most sample rows of two numbers
+    rows = with_features(some, "_id", "_y").groupBy("_id").agg(F.min(F.struct("_y", *(f"_f_{k}" for k in NAMES))).alias("r")).select("r.*").collect()  # repeated rows count once, so the bound holds
     x = np.array([[r[f"_f_{k}"] for k in NAMES] for r in rows], dtype=float).reshape(-1, len(NAMES))
     return x, np.array([r["_y"] for r in rows], dtype=float)
 
@@ -157,28 +168,29 @@ def fit(x: np.ndarray, y: np.ndarray) -> tuple[float, list[tuple[Rule, float]]]:
     return b, [(r, float(v)) for r, v in zip(rules, w) if abs(v) > 1e-6]
 
 
-def score(model: tuple[float, list[tuple[Rule, float]]]) -> Column:
+def score(model: tuple[float, list[tuple[Rule, float]]], prefix: str = "_f_") -> Column:
     total = F.lit(model[0])
     for rule, weight in model[1]:
         ok = F.lit(True)
         for name, up, t in rule:
-            ok = ok & ((F.col(f"_f_{name}") > t) if up else (F.col(f"_f_{name}") <= t))
+            ok = ok & ((F.col(f"{prefix}{name}") > t) if up else (F.col(f"{prefix}{name}") <= t))
         total = total + F.when(ok, weight).otherwise(0.0)
     return 1 / (1 + F.exp(-total))
 
 
 def scored(docs: DataFrame, labels: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns of keep, and score and predicted for each row of docs."""
-    model = fit(*labelled(docs, labels))
-    rows = with_features(docs, *keep).select(*keep, score(model).alias("_score"))
-    return rows.select(*keep, F.col("_score").alias("score"), (F.col("_score") >= KEEP).cast("int").alias("predicted"))
+    model, prefix = fit(*labelled(docs, labels)), unused(list(keep))
+    (own,) = fresh(docs.select(*(F.col(f"`{c}`") for c in keep)), "_score")
+    plain = [F.col(f"`{c}`") for c in keep]
+    rows = with_features(docs, *keep, prefix=prefix).select(*plain, score(model, prefix).alias(own))
+    return rows.select(*plain, F.col(own).alias("score"), (F.col(own) >= KEEP).cast("int").alias("predicted"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs that are predicted good, with all their columns."""
-    model = fit(*labelled(docs, labels))
-    kept = with_features(docs, *(F.col(f"`{c}`") for c in docs.columns))
-    return kept.filter(score(model) >= KEEP).select(*(F.col(f"`{c}`") for c in docs.columns))
+    model, prefix = fit(*labelled(docs, labels)), unused(docs.columns)
+    return with_features(docs, *docs.columns, prefix=prefix).filter(score(model, prefix) >= KEEP).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 
 import numpy as np
@@ -41,6 +42,28 @@ def test_index_is_exact(monkeypatch, n, dims, few):
         assert [(-s, j) for s, j in want] == list(zip(got.tolist(), got_ids.tolist()))
 
 
+def test_index_stops_on_proof_with_few_rows_left(spark):
+    """On the test table: not all postings are processed, and under a tenth of the rows are rescored."""
+    rows = topk.whole(spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")).toPandas()
+    x = np.stack(rows.v.to_numpy())
+    index = topk.Index(rows.vec_id.to_numpy(), x)
+    processed, rescored = [], []
+    for i in range(0, len(x), 50):
+        ids, got = index.top(x[i], int(rows.vec_id[i]), 5)
+        score = x @ x[i]
+        want = sorted(((-s, j) for s, j in zip(score, rows.vec_id) if j != rows.vec_id[i]))[:5]
+        assert [(-s, j) for s, j in want] == list(zip(got.tolist(), ids.tolist()))
+        processed.append(index.processed / x.size)
+        rescored.append(index.rescored)
+    assert np.mean(processed) < 0.95 and np.mean(rescored) < 0.1 * len(x) and max(rescored) < 0.2 * len(x)
+
+
+def test_topk_over_many_blocks(spark, monkeypatch):
+    monkeypatch.setattr(topk, "BLOCK_ROWS", 150)
+    monkeypatch.setattr(topk, "BLOCK_QUERIES", 3)
+    assert_same(QUERIES["op2_topk"](spark, SF), duck(SF).sql(ORACLE_SQL["op2_topk"]))
+
+
 def test_topk_edges(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.5]), (1, [0.5, None]), (2, [nan, 1.0]), (3, [inf, 1.0]), (4, None), (50, [0.25, 0.25]), (51, [0.25, 0.25]), (51, [0.25, 0.25]), (None, [1.0, 1.0]), (52, [])]
@@ -88,6 +111,65 @@ def test_mixing_edges(spark):
     assert mixing.mix(d.limit(0), mixing.domain_of(F.col("source")), 1.0, {}).count() == 0
 
 
+def drawn_by_hand(rows, part, weights, epochs, seed):
+    """How often each row (doc_id, domain, lang, source, tokens) is drawn: budgets by repeated water filling, then one leaf after another."""
+    budget = {(): int(sum(r[4] for r in rows) * part)}
+    for depth, level in enumerate(mixing.LEVELS):
+        caps = {}
+        for r in rows:
+            caps[r[1 : depth + 2]] = caps.get(r[1 : depth + 2], 0) + r[4] * epochs
+        w = {node: weights.get(level, {}).get(node[-1], weights.get(level, {}).get("*", 1)) for node in caps}
+        for parent in {node[:-1] for node in caps}:
+            own = {n: c for n, c in caps.items() if n[:-1] == parent}
+            budget |= shares(budget[parent], own, w)
+    out = {}
+    for leaf in {r[1:4] for r in rows}:
+        own = [r for r in rows if r[1:4] == leaf]
+        tokens = sum(r[4] for r in own)
+        full, rest = divmod(budget[leaf], tokens) if tokens else (0, 0)
+        upto = 0
+        for r in sorted(own, key=lambda r: (int(hashlib.md5(f"{seed}:{full + 1}:{r[0]}".encode()).hexdigest()[:15], 16), r[0])):
+            upto += r[4]
+            out[r[0]] = full + (upto <= rest) if r[4] else 1
+    return out
+
+
+def domain_by_hand(source):
+    n = re.search("[0-9]{1,9}", source or "")
+    return ("web", "books", "code")[(int(n.group()) if n else 0) % 3]
+
+
+def mixed_by_hand(docs, part, epochs):
+    rows = [(d.doc_id, domain_by_hand(d.source), d.lang or "(none)", d.source or "(none)", len(re.findall(r"[^\x20\x09-\x0d]+", d.text or ""))) for d in docs]
+    return drawn_by_hand(rows, part, mixing.WEIGHTS, epochs, 11)
+
+
+@pytest.mark.parametrize("epochs", [1, 4])
+def test_mixing_equals_brute_force(spark, epochs):
+    d = spark.read.parquet(f"{SF}/documents.parquet")
+    got = {r.doc_id: r.copies for r in mixing.mix(d, mixing.domain_of(F.col("source")), 0.6, mixing.WEIGHTS, epochs).collect()}
+    assert got == mixed_by_hand(d.collect(), 0.6, epochs)
+
+
+def test_pipeline_on_odd_tables(spark, tmp_path):
+    """Nulls in every column, empty and very long texts, repeated rows, clashing columns; an empty table."""
+    d = spark.read.parquet(f"{SF}/documents.parquet")
+    odd = spark.createDataFrame([(None, None, None, None, None), (10**9, "", None, None, 0), (10**9 + 1, "a b c " * 100_000, "en", None, None), (10**9 + 2, None, "en", "s1", 3)], d.schema)
+    for name, rows in (("odd", d.unionByName(odd).unionByName(odd).selectExpr("*", "1 as file", "2 as _y", "3 as _f_n", "4 as row", "5 as _flag")), ("none", d.limit(0))):
+        folder = f"{tmp_path}/{name}"
+        rows.write.parquet(f"{folder}/documents.parquet")
+        spark.read.parquet(f"{SF}/labels.parquet").write.parquet(f"{folder}/labels.parquet")
+        kept = spark.read.parquet(f"{folder}/documents.parquet")
+        for stage, f in corpus_pipeline.STAGES[:-1]:
+            kept = f(spark, kept, folder)
+            assert kept.columns == rows.columns, stage
+            ids = [r.doc_id for r in kept.select("doc_id").collect()]
+            assert stage == "quality classifier" or len(ids) == len(set(ids)), stage
+        out = corpus_pipeline.run(spark, folder).toPandas()
+        assert set(out.doc_id) == set(ids)
+        assert out.groupby("sequence_id").length.sum().max() <= 1024 or name == "none"
+
+
 def test_pipeline(spark):
     d = spark.read.parquet(f"{SF}/documents.parquet")
     texts = {r.doc_id: r for r in d.collect()}
@@ -102,14 +184,13 @@ def test_pipeline(spark):
             scored = quality.scored(d, spark.read.parquet(f"{SF}/labels.parquet")).collect()
             assert rows.keys() == {r.doc_id for r in scored if r.predicted}
         if name == "exact dedup":
-            norm = {i: re.sub(r"[\x20\x09-\x0d]+", " ", texts[i].text) for i in before}
+            norm = {i: re.sub(r"[\x20\x09-\x0d]+", " ", texts[i].text or "") for i in before}
             assert rows.keys() == {min(j for j in norm if norm[j] == norm[i]) for i in norm}
         if name == "near-dedup":
-            brute = near_brute([(i, texts[i].text) for i in before], 5)
+            brute = near_brute([(i, texts[i].text) for i in before], corpus_pipeline.SHINGLE)
             assert rows.keys() == {i for i, (_, root) in brute.items() if i == root}
         if name == "mixing":
-            words = {i: len(re.findall(r"[^\x20\x09-\x0d]+", texts[i].text)) for i in before}
-            assert sum(words[i] for i in rows) <= corpus_pipeline.MIX_PART * sum(words.values())
+            assert rows.keys() == {i for i, n in mixed_by_hand([texts[i] for i in before], corpus_pipeline.MIX_PART, 1).items() if n}
         kept = spark.createDataFrame(list(rows.values()), d.schema)
     out = corpus_pipeline.run(spark, SF).toPandas()
     assert set(out.doc_id) == set(rows)

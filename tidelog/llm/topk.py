@@ -5,19 +5,20 @@ is an index whose postings are grouped by dimension and quantised level (compone
 segment of row numbers each. For a query, a segment's impact is the least that it can add to the score
 above the dimension's minimum, so impacts aren't negative; segments are processed by descending
 quantised impact, each adding its impact to its rows' accumulators. At any time a row's score lies
-between its accumulator and that plus, for every dimension, the most that the dimension can still add
-(its next segment's impact, or the quantisation error once the row's segment has gone by). Processing
-stops only on proof: when the rows whose upper bound reaches the k-th best lower bound are few, or no
-segment is left. All rows whose upper bound reaches it are then rescored exactly, so nothing is lost;
-ties go to the smaller identifier.
+between its accumulator and that plus the quantisation error and, for each dimension in which the row's
+segment is still to come, the impact of the dimension's next segment. After the shares `CHECKS` of the
+postings, rows whose upper bound is below the k-th best accumulator are struck out for good. Processing
+stops only on proof: when at most `FEW` rows are left, or no segment is. All that are left are rescored
+exactly, so nothing is lost; ties go to the smaller identifier.
 
 Query blocks meet index blocks by key, both replicated by the other's number of blocks, and each meeting
-returns k rows per query; nothing is broadcast and no pair of rows is ever emitted.
+returns k rows per query; nothing is broadcast and no pair of rows is ever emitted. A meeting builds its
+block's index, which costs as much as some twenty of its up to `BLOCK_QUERIES` queries.
 
 Defined results: vectors that are null, or hold a null or a non-finite component, take no part; vectors of
 another length than the query's are compared over the dimensions that both have; identifiers name rows,
 so rows that repeat the query's own identifier are not its candidates; a null identifier takes no part; an
-empty table gives no rows; other columns don't matter.
+empty table gives no rows; other columns, whatever their names, don't matter.
 """
 
 from __future__ import annotations
@@ -32,11 +33,15 @@ from pyspark.sql import functions as F
 from .common import table
 
 SCALE = 256
-WIDTH = 16
+WIDTH = 2
 BLOCK_ROWS = 16_384
-BLOCK_QUERIES = 1_024
+BLOCK_QUERIES = 8_192
+#: Queries that are worth a task of their own where there are fewer meetings than cores.
+TASK_QUERIES = 128
 #: With so many possible members or fewer in a block, the rest is settled by rescoring.
-FEW = 1_024
+FEW = 64
+#: Shares of a block's postings after which bounds are compared.
+CHECKS = (0.6, 0.7, 0.8, 0.88, 0.94, 1.0)
 FOUND = "query_id long, vec_id long, score long"
 
 
@@ -46,61 +51,53 @@ class Index:
     def __init__(self, ids: np.ndarray, rows: np.ndarray) -> None:
         order = np.argsort(ids, kind="stable")
         self.ids, self.rows = ids[order], rows[order].astype(np.float64)
-        self.dims = rows.shape[1]
-        levels = self.rows.astype(np.int64) // WIDTH
-        self.segments: list[tuple[np.ndarray, list[np.ndarray]]] = []  # per dimension: levels, rows of each
+        n, self.dims = rows.shape
+        levels = np.floor_divide(rows[order], WIDTH)
+        self.posts: list[np.ndarray] = []  # of each segment: its rows
+        self.segment = np.empty((n, self.dims), dtype=np.int32)  # of each row and dimension: its segment
+        dim, low = [], []
         for d in range(self.dims):
             by = np.argsort(levels[:, d], kind="stable")
-            at, first = np.unique(levels[by, d], return_index=True)
-            self.segments.append((at, np.split(by.astype(np.int32), first[1:])))
-        self.dim = np.concatenate([np.full(len(at), d) for d, (at, _) in enumerate(self.segments)]) if self.dims else np.zeros(0, dtype=int)
-        self.low = np.concatenate([at * WIDTH for at, _ in self.segments]) if self.dims else np.zeros(0, dtype=int)
-        self.posts = [p for _, lists in self.segments for p in lists]
-        self.edges = np.concatenate(([0], np.cumsum([len(at) for at, _ in self.segments]))) if self.dims else np.zeros(1, dtype=int)
+            at, first, where = np.unique(levels[by, d], return_index=True, return_inverse=True)
+            self.segment[by, d] = where + len(self.posts)
+            self.posts += np.split(by, first[1:])
+            dim.append(np.full(len(at), d))
+            low.append(at * WIDTH)
+        self.dim, self.low = np.concatenate(dim), np.concatenate(low)
+        self.size = np.array([len(p) for p in self.posts])
+        self.edges = np.flatnonzero(np.diff(self.dim, prepend=-1))
+        self.processed = self.rescored = 0  # postings and rows of the last query
 
     def top(self, query: np.ndarray, own_id: int, k: int) -> tuple[np.ndarray, np.ndarray]:
         """The k best (identifiers, scores), own_id left out."""
         q = query.astype(np.float64)
         weight = q[self.dim]
         least = np.where(weight >= 0, weight * self.low, weight * (self.low + WIDTH - 1))
-        floors = np.minimum.reduceat(least, self.edges[:-1])
-        impact = least - floors[self.dim]
+        impact = least - np.minimum.reduceat(least, self.edges)[self.dim]
         order = np.argsort(-impact, kind="stable")
-        # after a prefix of segments, each dimension can still add its next segment's impact; afterwards only the error
-        error = np.abs(q) * (WIDTH - 1)
-        acc = np.zeros(len(self.ids))
-        done, pending = 0, np.maximum.reduceat(impact, self.edges[:-1]).sum()
-        checks = self._checks(impact[order], pending)
-        valid = self.ids != own_id
-        while True:
-            upto = checks.pop(0) if checks else len(order)
-            for s in order[done:upto]:
-                if impact[s] > 0:
-                    acc[self.posts[s]] += impact[s]
-            done = upto
-            left = np.zeros(self.dims)
-            rest = order[done:]
-            np.maximum.at(left, self.dim[rest], impact[rest])
-            slack = left.sum() + error.sum()
-            n = int(valid.sum())
-            if n <= k:
-                alive = np.flatnonzero(valid)
-                break
-            lower = np.where(valid, acc, -1.0)
-            bar = np.partition(lower, len(lower) - k)[len(lower) - k]
-            alive = np.flatnonzero(valid & (acc + slack >= bar))
-            if len(alive) <= FEW or done == len(order):
+        upto = np.cumsum(self.size[order])
+        error = np.abs(q).sum() * (WIDTH - 1)
+        acc, seen, done = np.zeros(len(self.ids)), np.zeros(len(order), dtype=bool), 0
+        alive = np.flatnonzero(self.ids != own_id)
+        for share in CHECKS:
+            if len(alive) <= max(k, FEW):
                 break
+            end = int(np.searchsorted(upto, share * upto[-1])) + 1
+            part = order[done:end]
+            if len(part):
+                acc += np.bincount(np.concatenate([self.posts[s] for s in part]), np.repeat(impact[part], self.size[part]), len(acc))
+            seen[part], done = True, max(done, end)
+            left = np.zeros(self.dims)
+            np.maximum.at(left, self.dim[order[done:]], impact[order[done:]])
+            bar = np.partition(acc[alive], len(alive) - k)[len(alive) - k]
+            alive = alive[acc[alive] + left.sum() + error >= bar]
+            to_come = ~seen[self.segment[alive]]
+            alive = alive[acc[alive] + to_come @ left + error >= bar]
+        self.processed, self.rescored = int(upto[min(done, len(upto)) - 1]) if done else 0, len(alive)
         scores = self.rows[alive] @ q  # integers below 2**53: exact in float64
         best = np.lexsort((self.ids[alive], -scores))[:k]
         return self.ids[alive][best], scores[best].astype(np.int64)
 
-    def _checks(self, impact: np.ndarray, whole: float) -> list[int]:
-        """Where to test for proof: as the impact of the next segment falls to ever smaller shares of the first."""
-        if not len(impact):
-            return []
-        return sorted({int(np.searchsorted(-impact, -impact[0] * share)) for share in (0.5, 0.25, 0.12, 0.06, 0.02)} - {0})
-
 
 def search_block(rows: pd.DataFrame, queries: pd.DataFrame, k: int) -> pd.DataFrame:
     out = []
@@ -133,7 +130,9 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, vector: str = "embed
     rows = whole(vectors, vector)
     asked = whole(vectors.filter(is_query), vector)
     blocks = max(1, math.ceil(rows.count() / BLOCK_ROWS))
-    parts = max(1, math.ceil(asked.count() / BLOCK_QUERIES))
+    n = asked.count()
+    spare = math.ceil(vectors.sparkSession.sparkContext.defaultParallelism / blocks)
+    parts = max(1, math.ceil(n / BLOCK_QUERIES), min(spare, n // TASK_QUERIES))
     spread = F.xxhash64("vec_id", F.monotonically_increasing_id())  # rows that repeat an identifier are spread too
     left = rows.withColumn("b", F.pmod(spread, F.lit(blocks)).cast("int")).withColumn("p", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
     right = asked.withColumn("p", F.pmod(spread, F.lit(parts)).cast("int")).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))

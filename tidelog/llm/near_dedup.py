@@ -33,6 +33,7 @@ ignored otherwise.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -53,6 +54,9 @@ FAR = 1 - PERCENT / 100 + 1e-9
 SHINGLE = 5
 #: Rows of one leader that one task compares.
 SPLIT = 2_000
+#: Classes whose keys one task makes, as long as that doesn't take more than so many tasks.
+TASK_CLASSES = 10_000
+MOST_TASKS = 20_000
 BLOCK = 1 << 20
 
 SPACE = np.zeros(256, dtype=bool)
@@ -190,10 +194,16 @@ def spread(rows: DataFrame, heads: DataFrame, key: str, salt: str, counted: Data
     return dealt.join(copies, [key, "part"]).drop("part")
 
 
+def sets_of(ids: DataFrame, sets: DataFrame, name: str, value: str) -> DataFrame:
+    """sets as (name, value), without most of those that aren't in ids' column of that name, which should be written."""
+    some, flag = narrowed(sets.select(F.col("id").alias(name), F.col("s").alias(value)), [name], ids)
+    return some.filter(F.col(flag)).drop(flag)
+
+
 def measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """pairs (x, y) with the sizes of both sets and of what they share. pairs should be written."""
-    first = pairs.join(sets.select(F.col("id").alias("x"), F.col("s").alias("sx")), "x")
-    both = spread(first, sets.select(F.col("id").alias("y"), F.col("s").alias("sy")), "y", "x", pairs)
+    first = pairs.join(sets_of(pairs, sets, "x", "sx"), "x")
+    both = spread(first, sets_of(pairs, sets, "y", "sy"), "y", "x", pairs)
     return both.select("x", "y", F.size("sx").cast("long").alias("nx"), F.size("sy").cast("long").alias("ny"), F.size(F.array_intersect("sx", "sy")).cast("long").alias("both"))
 
 
@@ -209,10 +219,12 @@ def need(nx: Column, ny: Column) -> Column:
 def leaders(classes: DataFrame) -> DataFrame:
     """Distinct (x, y): class x shares a bucket that y leads."""
     keys = F.flatten(F.transform("a", lambda u, i: F.transform("b", lambda v, j: F.xxhash64(i, j, u, v))))
-    rows = classes.select("id", F.explode(keys).alias("key"))
+    tasks = min(MOST_TASKS, math.ceil(classes.count() / TASK_CLASSES))
+    rows = classes.select("id", "a", "b").repartition(max(1, tasks)).select("id", F.explode(keys).alias("key"))
     # sizes are summed before the shuffle and joined from a written table, so that a hot bucket is split, not one task
     sizes = written(rows.groupBy("key").agg(F.count(F.lit(1)).alias("m")).filter("m > 1"), "bucket-sizes")
-    hits = written(rows.join(sizes, "key"), "bucket-rows")
+    shared, flag = narrowed(rows, ["key"], sizes)  # most keys are one class's alone
+    hits = written(shared.filter(F.col(flag)).drop(flag).join(sizes, "key"), "bucket-rows")
     degree = written(hits.groupBy("id").agg(F.sum("m").alias("degree")), "degrees")
     ranked = hits.select("id", "key").join(degree, "id")
     lead = written(ranked.groupBy("key").agg(F.max(F.struct("degree", (-F.col("id")).alias("id"))).alias("lead")).select("key", (-F.col("lead.id")).alias("y")), "bucket-leaders")
@@ -232,17 +244,20 @@ def open_stars(stars: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def prefixes(rest: DataFrame, sets: DataFrame) -> DataFrame:
-    """(z, h, id, n, r, k, d, c): the shingles by which members of a star can meet.
+    """(z, h, id, n, r, k, d, c), written: the shingles by which members of a star can meet.
 
     Shingles rank by the number of the star's members that have them, rarest first. r of a member's n are
     others' too; k is the rank in the member. Linked sets share one of their first n - ceil(0.8 n) + 1."""
-    each = rest.join(sets, "id").select("z", "id", "n", "d", "c", F.explode("s").alias("h"))
-    held = written(each.groupBy("z", "h").agg(F.count(F.lit(1)).alias("df")).filter("df > 1"), "star-held")
+    members = rest.select("z", "id", F.col("n").cast("int").alias("n")).join(sets_of(rest, sets, "id", "s"), "id")
+    each = written(members.select("z", "id", "n", F.explode("s").alias("h")), "star-shingles")
+    held = written(each.groupBy("z", "h").agg(F.count(F.lit(1)).cast("int").alias("df")).filter("df > 1"), "star-held")
     own = Window.partitionBy("z", "id")
     # shingles that no other member has are the rarest: they only shift the ranks of the others
-    ranked = each.join(held, ["z", "h"]).withColumn("r", F.count(F.lit(1)).over(own)).withColumn("k", F.col("n") - F.col("r") + F.row_number().over(own.orderBy("df", "h")))
+    each, flag = narrowed(each, ["z", "h"], held)
+    ranked = each.filter(F.col(flag)).drop(flag).join(held, ["z", "h"]).withColumn("r", F.count(F.lit(1)).over(own)).withColumn("k", F.col("n") - F.col("r") + F.row_number().over(own.orderBy("df", "h")))
     smallest = F.ceil(F.col("n") * PERCENT / 100)
-    return ranked.filter((F.col("k") <= F.col("n") - smallest + 1) & (F.col("r") >= need(F.col("n"), smallest))).select("z", "h", "id", "n", "r", "k", "d", "c")
+    first = ranked.filter((F.col("k") <= F.col("n") - smallest + 1) & (F.col("r") >= need(F.col("n"), smallest))).select("z", "h", "id", "r", "k")
+    return written(first.join(rest, ["z", "id"]), "star-prefixes")
 
 
 def meeting(keys: DataFrame) -> DataFrame:

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
-from tidelog.engine import Log
+from tidelog.engine import ConcurrentBatch, Log
 from tidelog.operators import append
 from tidelog.plans import requests as R
-from tidelog.schema import APPEND_REQUESTS, CREATE_REQUESTS, READ_REQUESTS
+from tidelog.schema import APPEND_REQUESTS, CREATE_REQUESTS, MESSAGES, READ_REQUESTS
+from tidelog.sources.datasource import LogSource
 
 SF = "/root/testdata/sf0.001"
 T = dt.datetime(2024, 1, 1)
@@ -54,6 +56,81 @@ def test_life_of_a_stream(spark, tmp_path):
     assert log.list_paths().count() == 0 and log.messages().count() == 0
 
 
+def test_expired_streams_are_not_found(spark, tmp_path):
+    log = Log(spark, f"file://{tmp_path}/log")
+    rows = [(i, p, "text/plain", ttl, until, None, b"x", T) for i, (p, ttl, until) in enumerate([("/old", "60", None), ("/until", None, "2024-01-01T00:01:00+05:00"), ("/lasts", None, None)])]
+    log.create(spark.createDataFrame(rows, CREATE_REQUESTS))
+    for later, want in ((60, 200), (61, 404)):
+        at = T + dt.timedelta(seconds=later)
+        asked = spark.createDataFrame([(i, p, o, None, None, None, at, 1) for i, (p, o) in enumerate((p, o) for p in ("/old", "/until", "/lasts") for o in (None, "now", "0_0"))], READ_REQUESTS)
+        for body in (False, True):
+            got = log.read(asked, body).collect()
+            assert {r.http_status for r in got if r.path != "/lasts"} == {want} and {r.http_status for r in got if r.path == "/lasts"} == {200}
+            assert want == 200 or all(r.n == 0 and r.next_offset is None and r.etag is None for r in got if r.path != "/lasts")
+        heads = {r.path: r.http_status for r in log.head_outcomes(asked.filter("req_id % 3 = 0")).collect()}
+        assert heads == {"/old": want, "/until": want, "/lasts": 200}
+        assert {r.path for r in log.head(F.lit(at)).collect()} == ({"/lasts"} if want == 404 else {"/old", "/until", "/lasts"})
+        events = log.events(asked.filter("offset is null")).collect()
+        assert {r.req_id for r in events} == ({6} if want == 404 else {0, 3, 6})
+    gone = spark.createDataFrame([(p, i, at) for i, p in enumerate(("/old", "/lasts", "/z"))], "path string, ingest_seq long, as_of timestamp")
+    assert {r.path: r.http_status for r in log.delete(gone).collect()} == {"/old": 404, "/lasts": 204, "/z": 404}
+    assert [r.path for r in log.list_paths().collect()] == ["/until"]
+
+
+def test_recreated_stream_has_none_of_its_old_messages(spark, tmp_path):
+    """Even where it is created again at the very same time."""
+    log = Log(spark, f"file://{tmp_path}/log")
+    log.create(creates(spark, ("/a", "text/plain", None, b"one"), ("/b", "text/plain", None, b"kept")))
+    log.delete(spark.createDataFrame([("/a", 1)], "path string, ingest_seq long"))
+    log.create(creates(spark, ("/a", "text/plain", None, b"two")))
+    assert {(r.path, bytes(r.data)) for r in log.messages().collect()} == {("/a", b"two"), ("/b", b"kept")}
+
+
+def test_of_two_writers_one_wins(spark, tmp_path, monkeypatch):
+    one, two = (Log(spark, f"file://{tmp_path}/log") for _ in range(2))
+    one.create(creates(spark, ("/a", "text/plain", None, b"one")))
+    began = two._begin()
+    monkeypatch.setattr(two, "_begin", lambda: began)
+    one.create(creates(spark, ("/b", "text/plain", None, b"x")))
+    with pytest.raises(ConcurrentBatch):
+        two.create(creates(spark, ("/c", "text/plain", None, b"lost")))
+    monkeypatch.undo()
+    assert sorted(r.path for r in two.list_paths().collect()) == ["/a", "/b"]
+    assert {bytes(r.data) for r in two.messages().collect()} == {b"one", b"x"}
+    two.create(creates(spark, ("/c", "text/plain", None, b"sent again")))
+    assert sorted(r.path for r in one.list_paths().collect()) == ["/a", "/b", "/c"]
+
+
+@pytest.mark.parametrize("part", ["", "/messages"])
+def test_data_source_reads_an_engines_log(spark, tmp_path, part):
+    spark.dataSource.register(LogSource)
+    log, folder = Log(spark, f"file://{tmp_path}/log"), f"file://{tmp_path}/log"
+    source = lambda r, path: r.format("tidelog").option("log", folder + part).option("path", path)
+    assert part or source(spark.read, "/a").load().count() == 0  # before anything is written
+    log.create(creates(spark, ("/a", "text/plain", None, b"one"), ("/b", "text/plain", None, b"other"), ("/none", "text/plain", None, None)))
+    log.append(spark.createDataFrame([(10, "/a", "text/plain", None, None, None, None, None, b"two", T)], APPEND_REQUESTS))
+    (tmp_path / "log/messages/version=failed").mkdir(parents=True)
+    write = spark.createDataFrame([("/a", 99, b"never committed", 15, "0000000000000000_0000000000000099", T)], MESSAGES)
+    write.write.mode("append").parquet(f"{folder}/messages/version=failed")
+    assert [bytes(r.data) for r in source(spark.read, "/a").load().orderBy("offset").collect()] == [b"one", b"two"]
+    assert [bytes(r.data) for r in source(spark.read, "/a").option("offset", "0000000000000000_0000000000000003").load().collect()] == [b"two"]
+    assert source(spark.read, "/none").load().count() == 0 and source(spark.read, "/z").load().count() == 0
+    got = []
+
+    def follow():
+        query = source(spark.readStream, "/a").load().writeStream.foreachBatch(lambda df, _: got.extend(bytes(r.data) for r in df.orderBy("offset").collect())).option("checkpointLocation", f"{tmp_path}/ck").start()
+        try:
+            query.processAllAvailable()
+        finally:
+            query.stop()
+
+    follow()
+    assert got == [b"one", b"two"]
+    log.append(spark.createDataFrame([(11, "/a", "text/plain", None, None, None, None, None, b"three", T)], APPEND_REQUESTS))
+    follow()
+    assert got == [b"one", b"two", b"three"]
+
+
 def test_command_line(spark, tmp_path, monkeypatch):
     from tidelog.__main__ import main
 

@@ -118,3 +118,25 @@ def test_properties(rows):
         assert s.closed >= closed
         closed = s.closed
         assert s.tail == last
+
+
+def test_many_producers_of_one_stream_cost_linear_time():
+    """100,000 producers: nothing is swept at each request, and old ones are forgotten all the same."""
+    import time
+
+    def fold(n):
+        state, start = StreamState(True, "text/plain"), time.perf_counter()
+        for i in range(n):
+            assert apply(state, Request("text/plain", None, None, f"p{i}", "0", "0", b"x", float(i))).status == "accepted"
+        return time.perf_counter() - start, state
+
+    fold(1_000)
+    small, _ = fold(10_000)
+    large, state = fold(100_000)
+    assert large < 40 * small and len(state.producers) == 100_000
+    late = 100_000 + PRODUCER_TTL + 1.0
+    assert apply(state, Request("text/plain", None, None, "p99999", "0", "1", b"x", late)).status == "sequence_gap"
+    for i in range(200_000):
+        state.known("nobody", late)
+        state.producers.setdefault(f"q{i}", (0, 0, late))
+    assert not any(k.startswith("p") for k in state.producers)

@@ -9,7 +9,14 @@ from ..functions.exprs import is_text
 
 # Which operation a method asks for, and the constant headers of every response.
 ROUTES = {"PUT": "create", "HEAD": "head", "GET": "read", "POST": "append", "DELETE": "delete", "OPTIONS": "preflight"}
-COMMON = {"access-control-allow-origin": "*", "access-control-allow-methods": "GET, POST, PUT, DELETE, HEAD, OPTIONS", "x-content-type-options": "nosniff", "cross-origin-resource-policy": "cross-origin"}
+COMMON = {
+    "access-control-allow-origin": "*",
+    "access-control-allow-methods": "GET, POST, PUT, DELETE, HEAD, OPTIONS",
+    "access-control-allow-headers": "content-type, authorization, Stream-Seq, Stream-TTL, Stream-Expires-At, Stream-Closed, Producer-Id, Producer-Epoch, Producer-Seq",
+    "access-control-expose-headers": "Stream-Next-Offset, Stream-Cursor, Stream-Up-To-Date, Stream-Closed, Producer-Epoch, Producer-Seq, Producer-Expected-Seq, Producer-Received-Seq, etag, content-type, content-encoding, vary",
+    "x-content-type-options": "nosniff",
+    "cross-origin-resource-policy": "cross-origin",
+}
 
 
 def route(method: Column | str) -> Column:
@@ -34,10 +41,31 @@ def header_value(headers: Column | str, name: str) -> Column:
 
 
 def _map(pairs: dict[str, Column]) -> Column:
+    """A response's own headers, where they aren't null, and those of every response."""
+    pairs = pairs | {k: F.lit(v) for k, v in COMMON.items()}
     every = F.map_from_arrays(F.array(*map(F.lit, pairs)), F.array(*(p.cast("string") for p in pairs.values())))
     return F.map_filter(every, lambda _, v: v.isNotNull())
 
 
+def preflight_headers(requests: DataFrame) -> DataFrame:
+    """routed requests with `headers` of those that their method alone answers: preflights and refused methods."""
+    refused = F.when(F.col("http_status") == 405, F.lit("text/plain"))
+    return routed(requests).withColumn("headers", F.when(F.col("http_status").isNotNull(), _map({"content-type": refused})))
+
+
+def head_headers(answers: DataFrame) -> DataFrame:
+    """Outcomes of lifecycle.head_outcomes with `headers`."""
+    good = F.col("http_status") == 200
+    own = {
+        "stream-next-offset": F.col("next_offset"),
+        "cache-control": F.when(good, F.lit("no-store")),
+        "content-type": F.when(good, F.col("content_type")).otherwise(F.lit("text/plain")),
+        "stream-closed": F.when(good & F.col("closed"), F.lit("true")),
+        "etag": F.col("etag"),
+    }
+    return answers.withColumn("headers", _map(own))
+
+
 def append_headers(outcomes: DataFrame, requests: DataFrame) -> DataFrame:
     """outcomes with `headers`, the map of their responses' own headers. requests: they, for what they asked."""
     size = F.coalesce(F.octet_length("body"), F.lit(0)) == 0

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.exprs import accepted_type, closes, etag, expired, is_json, media_type, offset_text, ttl_error
 from ..functions.jsoncanon import canonical, canonical_elements
 from ..schema import START
+from .read import with_nulls
 
 
 def alive(streams: DataFrame, as_of: Column, strict: bool = False) -> DataFrame:
@@ -30,12 +31,28 @@ def delete(streams: DataFrame, paths: DataFrame) -> DataFrame:
     return streams.join(paths.select("path").distinct(), "path", "left_anti")
 
 
-def delete_outcomes(streams: DataFrame, requests: DataFrame) -> DataFrame:
-    """204 for the first request for an existing path, else 404."""
+def delete_outcomes(streams: DataFrame, requests: DataFrame, strict: bool = False) -> DataFrame:
+    """204 for the first request for an existing path, else 404; at requests' as_of, if they have one, streams may have expired."""
     first = Window.partitionBy("path").orderBy("ingest_seq")
-    here = streams.select("path", F.lit(True).alias("_here"))
-    joined = requests.join(here, "path", "left").withColumn("_k", F.row_number().over(first))
-    return joined.select("path", "ingest_seq", F.when(F.col("_here") & (F.col("_k") == 1), 204).otherwise(404).alias("http_status"))
+    joined = _found(streams, requests, strict).withColumn("_k", F.row_number().over(first))
+    return joined.select("path", "ingest_seq", F.when(F.col("_found") & (F.col("_k") == 1), 204).otherwise(404).alias("http_status"))
+
+
+def _found(streams: DataFrame, requests: DataFrame, strict: bool) -> DataFrame:
+    """requests with `_found`: whether their stream exists and hasn't expired at their as_of (null or absent: whatever its age)."""
+    known = with_nulls(streams, created_at="timestamp", ttl_seconds="long", expires_at="string")
+    life = known.select("path", F.struct("created_at", "ttl_seconds", "expires_at").alias("_life"))
+    joined = with_nulls(requests, as_of="timestamp").join(life, "path", "left")
+    gone = expired("_life.created_at", "_life.ttl_seconds", "_life.expires_at", "as_of", strict)
+    return joined.withColumn("_found", F.col("_life").isNotNull() & ~gone).drop("_life")
+
+
+def head_outcomes(streams: DataFrame, requests: DataFrame, strict: bool = False) -> DataFrame:
+    """requests (req_id, path, as_of) with http_status (200, or 404 where the stream is absent or expired) and the metadata of those found."""
+    asked = _found(streams, requests, strict).select("req_id", "path", "_found")
+    rows = asked.join(head(streams).drop("ttl_seconds", "expires_at"), "path", "left")
+    own = (F.when(F.col("_found"), F.col(c)).alias(c) for c in ("next_offset", "content_type", "closed", "etag"))
+    return rows.select("req_id", "path", F.when(F.col("_found"), 200).otherwise(404).alias("http_status"), *own)
 
 
 def clear(streams: DataFrame) -> DataFrame:

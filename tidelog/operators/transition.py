@@ -30,6 +30,15 @@ class StreamState:
     ttl_seconds: int | None = None
     expires_at: str | None = None
     producers: dict[str, tuple[int, int, float]] = field(default_factory=dict)  # epoch, last seq, when
+    sweep_at: int = 1024
+
+    def known(self, producer: str, now: float) -> tuple[int, int, float] | None:
+        """A producer's state, unless it is too old. All old ones are forgotten each time that their number has doubled, so a request costs the same with many producers as with few."""
+        if len(self.producers) > self.sweep_at:
+            self.producers = {k: v for k, v in self.producers.items() if now - v[2] <= PRODUCER_TTL}
+            self.sweep_at = max(1024, 2 * len(self.producers))
+        found = self.producers.get(producer)
+        return found if found is not None and now - found[2] <= PRODUCER_TTL else None
 
     def is_gone(self, now: float, strict: bool) -> bool:
         if not self.exists:
@@ -141,8 +150,7 @@ def apply(state: StreamState, r: Request, strict: bool = False) -> Outcome:
         return Outcome("content_type_mismatch", 409)
 
     if who is not None:
-        state.producers = {k: v for k, v in state.producers.items() if r.ts - v[2] <= PRODUCER_TTL}
-        verdict, number = judge(state.producers.get(who[0]), who[1], who[2])
+        verdict, number = judge(state.known(who[0], r.ts), who[1], who[2])
         if verdict == "stale_epoch":
             return Outcome(verdict, 403, producer_epoch=_fit(number))
         if verdict == "sequence_gap":

@@ -148,6 +148,36 @@ def closed_eof(spark: SparkSession, sf: str) -> DataFrame:
     return _reads(spark, sf, [0, 2]).filter("closed").select("req_id", "path", "next_offset")
 
 
+def _aging(streams: DataFrame) -> DataFrame:
+    """Streams of which a third lives for a minute and another third until two minutes past."""
+    p = F.col("path").cast("long")
+    return streams.withColumns({"created_at": F.lit(R.AS_OF).cast("timestamp"), "ttl_seconds": F.when(p % 3 == 0, 60).cast("long"), "expires_at": F.when(p % 3 == 1, "2024-11-01T00:02:00Z")})
+
+
+@query
+def expired_reads(spark: SparkSession, sf: str) -> DataFrame:
+    """Reads of streams that expire: those after their time find nothing."""
+    m = R.conversation_messages(spark, sf)
+    s = R.conversation_streams(m)
+    return read.read_outcomes(R.reads(s).drop("k"), _aging(s), m).select(*READ, "next_cursor", "etag")
+
+
+@query
+def expired_bodies(spark: SparkSession, sf: str) -> DataFrame:
+    m = R.conversation_messages(spark, sf)
+    s = R.conversation_streams(m)
+    return read.read_outcomes(R.reads(s).filter("k in (0, 3)").drop("k"), _aging(s), m, body=True).select("req_id", "http_status", "body")
+
+
+@query
+def expired_head(spark: SparkSession, sf: str) -> DataFrame:
+    m = R.conversation_messages(spark, sf)
+    s = R.conversation_streams(m)
+    asked = R.reads(s).filter("k = 0").select("req_id", "path", "as_of").unionByName(spark.createDataFrame([(-1, "none", None)], "req_id long, path string, as_of timestamp"))
+    rows = http.head_headers(lifecycle.head_outcomes(_aging(s), asked))
+    return rows.select("req_id", "http_status", "next_offset", "closed", "etag", F.col("headers")["cache-control"].alias("cache_control"), F.col("headers")["content-type"].alias("content_type"))
+
+
 @query
 def etag(spark: SparkSession, sf: str) -> DataFrame:
     return _reads(spark, sf, [1, 3]).filter("etag is not null").select("req_id", "etag")
@@ -284,6 +314,26 @@ def sse_control(spark: SparkSession, sf: str) -> DataFrame:
     return framing.control_frames(s).select("path", "control", "frame")
 
 
+@query
+def sse_sequence(spark: SparkSession, sf: str) -> DataFrame:
+    """All that one pass of a live read sends: data events in order, then the control event."""
+    m = R.conversation_messages(spark, sf)
+    s = R.conversation_streams(m)
+    asked = R.reads(s).filter("k between 0 and 5").drop("k", "live")
+    return framing.event_sequence(asked, s, m)
+
+
+@query
+def byte_safe_payloads(spark: SparkSession, sf: str) -> DataFrame:
+    """Payloads cut in the middle of a character aren't text: an error as text, whole in base64."""
+    d = R.table(spark, sf, "documents")
+    cut = F.substring(F.col("text").cast("binary"), 1, 60)
+    rows = d.filter(F.octet_length("text") > 60).select("doc_id", F.concat(cut, F.when(F.col("doc_id") % 2 == 0, F.unhex(F.lit("C3"))).otherwise(F.unhex(F.lit("0A")))).alias("data"))
+    text = framing.data_frames(rows.filter("doc_id % 4 < 2"), F.lit("text/plain"))
+    coded = framing.data_frames(rows.filter("doc_id % 4 > 1"), F.lit("image/png"))
+    return text.unionByName(coded).select("doc_id", "error", F.md5(F.col("frame").cast("binary")).alias("frame_md5"))
+
+
 # -- lifecycle -------------------------------------------------------------------------------
 
 
@@ -313,7 +363,9 @@ def list_paths(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def exists_semi(spark: SparkSession, sf: str) -> DataFrame:
-    d = R.table(spark, sf, "documents").select(F.concat_ws("/", "source", (F.col("doc_id") % 50).cast("string")).alias("path")).filter(F.col("doc_id") % 4 == 0)
+    """Every document's path is looked up, and one beside it that nothing has created."""
+    numbers = F.explode(F.array(F.col("doc_id") % 50, F.col("doc_id") % 7 * 10)).alias("n")
+    d = R.table(spark, sf, "documents").select("source", "doc_id", numbers).select(F.concat_ws("/", "source", F.col("n").cast("string")).alias("path"))
     return lifecycle.lookup(_created(spark, sf), d, F.lit("2024-01-01 00:30:00").cast("timestamp")).select("path")
 
 
@@ -330,6 +382,14 @@ def delete_outcomes(spark: SparkSession, sf: str) -> DataFrame:
     return lifecycle.delete_outcomes(_created(spark, sf), d)
 
 
+@query
+def expired_delete(spark: SparkSession, sf: str) -> DataFrame:
+    """Deletions around the time that streams expire at."""
+    d = R.table(spark, sf, "documents").select(F.concat_ws("/", "source", (F.col("doc_id") % 50).cast("string")).alias("path"), F.col("doc_id").alias("ingest_seq"))
+    as_of = F.timestamp_seconds(F.unix_timestamp(F.lit("2024-01-01 00:59:50").cast("timestamp")) + F.col("ingest_seq") % 20)
+    return lifecycle.delete_outcomes(_created(spark, sf), d.withColumn("as_of", as_of))
+
+
 @query
 def stream_head(spark: SparkSession, sf: str) -> DataFrame:
     return lifecycle.head(_created(spark, sf))
@@ -405,7 +465,7 @@ def duplicate_share(spark: SparkSession, sf: str) -> DataFrame:
 def fault_injection(spark: SparkSession, sf: str) -> DataFrame:
     e = _events(spark, sf)
     asked = e.select(F.col("event_type").alias("path"), F.when(F.col("user_id") % 2 == 0, "GET").otherwise("post").alias("method"), F.col("event_id").alias("ingest_seq"))
-    rules = spark.createDataFrame([("error", "get", 3, 503), ("click", None, 0, 500), ("view", "POST", 2, None)], "path string, method string, count int, status int")
+    rules = spark.createDataFrame([("error", "get", 3, 503, 7), ("click", None, 0, 500, None), ("view", "POST", 2, None, 9)], "path string, method string, count int, status int, retry_after int")
     return faults.faulted(asked, rules)
 
 
@@ -435,6 +495,15 @@ def dispatch(spark: SparkSession, sf: str) -> DataFrame:
     return http.routed(_events(spark, sf).select("event_id", method.alias("method")))
 
 
+@query
+def preflight_headers(spark: SparkSession, sf: str) -> DataFrame:
+    i = F.col("event_id")
+    method = F.when(i % 3 == 0, "OPTIONS").when(i % 3 == 1, "PATCH").otherwise("get")
+    rows = http.preflight_headers(_events(spark, sf).select("event_id", method.alias("method")))
+    names = ("access-control-allow-methods", "access-control-allow-headers", "access-control-expose-headers", "x-content-type-options", "cross-origin-resource-policy", "content-type")
+    return rows.select("event_id", "http_status", *(F.col("headers")[h].alias(h.replace("-", "_")) for h in names))
+
+
 @query
 def header_lookup(spark: SparkSession, sf: str) -> DataFrame:
     pair = lambda n, v: F.struct(n.cast("binary").alias("name"), v.cast("binary").alias("value"))

@@ -74,6 +74,17 @@ SELECT i.path, i.ingest_seq, count(*) AS n, sum(o.nbytes)::BIGINT AS bytes, max(
     "etag": _read("1, 3", "req_id, etag", "WHERE etag IS NOT NULL"),
 }
 
+# at p seconds past, streams whose number p divides by three without rest live for a minute, those with rest one until two minutes past
+_GONE = "((path::BIGINT % 3 = 0 AND path::BIGINT > 60) OR (path::BIGINT % 3 = 1 AND path::BIGINT > 120))"
+ORACLE_SQL |= {
+    "expired_reads": _read("0, 1, 2, 3, 4, 5, 6, 7", f"""req_id, path, CASE WHEN {_GONE} THEN 404 ELSE http_status END AS http_status, CASE WHEN {_GONE} THEN 0 ELSE n END AS n, CASE WHEN {_GONE} THEN 0 ELSE bytes END::BIGINT AS bytes,
+  CASE WHEN NOT {_GONE} THEN next_offset END AS next_offset, CASE WHEN NOT {_GONE} THEN closed END AS closed, CASE WHEN NOT {_GONE} THEN next_cursor END AS next_cursor, CASE WHEN NOT {_GONE} THEN etag END AS etag"""),
+    "expired_bodies": _read("0, 3", f"req_id, CASE WHEN {_GONE} THEN 404 ELSE http_status END AS http_status, CASE WHEN http_status = 200 AND NOT {_GONE} THEN text END AS body"),
+    "expired_head": f"""WITH {STREAMS} SELECT path::BIGINT * 8 AS req_id, CASE WHEN {_GONE} THEN 404 ELSE 200 END AS http_status, CASE WHEN NOT {_GONE} THEN tail END AS next_offset, CASE WHEN NOT {_GONE} THEN closed END AS closed,
+  CASE WHEN NOT {_GONE} THEN '"' || to_base64(encode(path)) || ':-1:' || tail || CASE WHEN closed THEN ':c' ELSE '' END || '"' END AS etag, CASE WHEN NOT {_GONE} THEN 'no-store' END AS cache_control, 'text/plain' AS content_type FROM s
+UNION ALL SELECT -1, 404, NULL, NULL, NULL, NULL, 'text/plain'""",
+}
+
 # -- JSON ------------------------------------------------------------------------------------
 
 ORACLE_SQL |= {
@@ -117,6 +128,20 @@ SELECT page_id, md5(f) AS frame_md5, strlen(f)::BIGINT AS nbytes FROM t""",
 SELECT path, control, 'event: control' || chr(10) || 'data:' || control || chr(10) || chr(10) AS frame FROM c""",
 }
 
+_FRAME = "'event: {event}' || chr(10) || 'data:' || replace({x}, chr(10), chr(10) || 'data:') || chr(10) || chr(10)"
+ORACLE_SQL |= {
+    "sse_sequence": "WITH " + _answers(_KINDS.replace("{kinds}", "0, 1, 2, 3, 4, 5").replace("CASE path::BIGINT % 3 WHEN 1 THEN 'long-poll' WHEN 2 THEN 'x' END AS live", "'sse' AS live")) + f""",
+x AS (SELECT *, CASE WHEN is_closed AND coalesce(last, tail) = tail THEN '{{"streamNextOffset":"' || coalesce(last, tail) || '","streamClosed":true}}'
+  ELSE '{{"streamNextOffset":"' || coalesce(last, tail) || '","streamCursor":"' || CASE WHEN try_cast(cursor AS BIGINT) >= bucket THEN try_cast(cursor AS BIGINT) + greatest(1, jitter // 20) ELSE bucket END || '","upToDate":true}}' END AS control FROM f WHERE good),
+y AS (SELECT req_id, o."offset" AS spot, 'data' AS event, {_FRAME.format(event="data", x="replace(replace(o.text, chr(13) || chr(10), chr(10)), chr(13), chr(10))")} AS frame FROM x JOIN o ON x.path = o.path AND o."offset" > x.after
+  UNION ALL SELECT req_id, '~', 'control', {_FRAME.format(event="control", x="control")} FROM x)
+SELECT req_id, row_number() OVER (PARTITION BY req_id ORDER BY spot)::INTEGER AS position, event, frame FROM y""",
+    "json_canonical_unicode": r"""WITH c AS (SELECT doc_id, list_transform(regexp_extract_all(text, '(?s).'), lambda x: CASE WHEN x = '"' THEN '\"' WHEN x = chr(92) THEN chr(92) || chr(92) WHEN x = chr(10) THEN '\n' WHEN x = chr(13) THEN '\r' WHEN x = chr(9) THEN '\t' WHEN x = chr(8) THEN '\b' WHEN x = chr(12) THEN '\f'
+  WHEN ord(x) < 32 OR ord(x) BETWEEN 128 AND 65535 THEN printf('\u%04x', ord(x)) WHEN ord(x) > 65535 THEN printf('\u%04x\u%04x', 55296 + ((ord(x) - 65536) >> 10), 56320 + ((ord(x) - 65536) & 1023)) ELSE x END) AS parts FROM documents),
+s AS (SELECT doc_id, '{"doc_id":' || doc_id || ',"text":"' || array_to_string(parts, '') || '"},' AS stored FROM c)
+SELECT doc_id, strlen(stored)::BIGINT AS nbytes, md5(stored) AS md5 FROM s""",
+}
+
 # -- lifecycle -------------------------------------------------------------------------------
 
 CREATES = r"""
@@ -136,14 +161,15 @@ ORACLE_SQL |= {
     "stream_expired": """SELECT event_id, (event_id % 3 = 0 AND epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01 00:00:00') > event_id % 30 * 86400 * 1000000)
   OR (event_id % 4 = 0 AND ts > TIMESTAMP '2024-01-10 00:00:00') OR (event_id % 4 = 1 AND ts > TIMESTAMP '2024-01-20 12:30:00') AS expired FROM events""",
     "list_paths": f"WITH {CREATES} SELECT path FROM made",
-    "exists_semi": f"WITH {CREATES} SELECT path FROM made WHERE path IN (SELECT source || '/' || doc_id % 50 FROM documents WHERE doc_id % 4 = 0)",
+    "exists_semi": f"WITH {CREATES} SELECT path FROM made WHERE path IN (SELECT source || '/' || unnest([doc_id % 50, doc_id % 7 * 10]) FROM documents)",
     "delete_anti": f"WITH {CREATES} SELECT path, current_offset FROM made WHERE split_part(path, '/', 2)::INTEGER % 2 = 1",
     "delete_outcomes": f"""WITH {CREATES} SELECT path, ingest_seq, CASE WHEN path IN (SELECT path FROM made) AND row_number() OVER (PARTITION BY path ORDER BY ingest_seq) = 1 THEN 204 ELSE 404 END AS http_status FROM k""",
+    "expired_delete": f"""WITH {CREATES} SELECT k.path, k.ingest_seq, CASE WHEN made.path IS NOT NULL AND row_number() OVER (PARTITION BY k.path ORDER BY k.ingest_seq) = 1 AND NOT coalesce(made.ttl = 3600 AND k.ingest_seq % 20 > 10, false) THEN 204 ELSE 404 END AS http_status FROM k LEFT JOIN made ON k.path = made.path""",
     "stream_head": f"""WITH {CREATES} SELECT path, current_offset AS next_offset, content_type, closed, '"' || to_base64(encode(path)) || ':-1:' || current_offset || CASE WHEN closed THEN ':c' ELSE '' END || '"' AS etag, ttl AS ttl_seconds, until AS expires_at FROM made""",
     "fault_injection": """WITH e AS (SELECT event_type AS path, CASE WHEN user_id % 2 = 0 THEN 'GET' ELSE 'post' END AS method, event_id AS ingest_seq FROM events),
 x AS (SELECT *, (path = 'error' AND method = 'GET') OR path = 'click' OR (path = 'view' AND method = 'post') AS hit FROM e),
 k AS (SELECT *, row_number() OVER (PARTITION BY path, hit ORDER BY ingest_seq) AS n FROM x)
-SELECT path, method, ingest_seq, CASE WHEN hit AND path = 'error' AND n <= 3 THEN 503 WHEN hit AND path = 'click' AND n <= 1 THEN 500 END AS fault_status FROM k""",
+SELECT path, method, ingest_seq, CASE WHEN hit AND path = 'error' AND n <= 3 THEN 503 WHEN hit AND path = 'click' AND n <= 1 THEN 500 END AS fault_status, CASE WHEN hit AND path = 'error' AND n <= 3 THEN 7 END AS retry_after FROM k""",
 }
 
 # -- appends ---------------------------------------------------------------------------------
@@ -231,6 +257,10 @@ SELECT path, ingest_seq, http_status, next_offset AS stream_next_offset, CASE WH
   CASE WHEN http_status < 300 THEN next_cursor END AS stream_cursor, etag, CASE WHEN http_status >= 400 THEN 'text/plain' END AS content_type"""),
     "dispatch": """WITH m AS (SELECT event_id, ['get', 'PUT', 'Post', 'HEAD', 'DELETE', 'OPTIONS', 'PATCH', 'TRACE'][event_id % 8 + 1] AS method FROM events)
 SELECT event_id, method, CASE upper(method) WHEN 'GET' THEN 'read' WHEN 'PUT' THEN 'create' WHEN 'POST' THEN 'append' WHEN 'HEAD' THEN 'head' WHEN 'DELETE' THEN 'delete' WHEN 'OPTIONS' THEN 'preflight' END AS operation, CASE event_id % 8 WHEN 5 THEN 204 WHEN 6 THEN 405 WHEN 7 THEN 405 END AS http_status FROM m""",
+    "preflight_headers": """SELECT event_id, CASE event_id % 3 WHEN 0 THEN 204 WHEN 1 THEN 405 END AS http_status, CASE WHEN event_id % 3 < 2 THEN 'GET, POST, PUT, DELETE, HEAD, OPTIONS' END AS access_control_allow_methods,
+  CASE WHEN event_id % 3 < 2 THEN 'content-type, authorization, Stream-Seq, Stream-TTL, Stream-Expires-At, Stream-Closed, Producer-Id, Producer-Epoch, Producer-Seq' END AS access_control_allow_headers,
+  CASE WHEN event_id % 3 < 2 THEN 'Stream-Next-Offset, Stream-Cursor, Stream-Up-To-Date, Stream-Closed, Producer-Epoch, Producer-Seq, Producer-Expected-Seq, Producer-Received-Seq, etag, content-type, content-encoding, vary' END AS access_control_expose_headers,
+  CASE WHEN event_id % 3 < 2 THEN 'nosniff' END AS x_content_type_options, CASE WHEN event_id % 3 < 2 THEN 'cross-origin' END AS cross_origin_resource_policy, CASE WHEN event_id % 3 = 1 THEN 'text/plain' END AS content_type FROM events""",
     "header_lookup": "SELECT event_id, event_id::VARCHAR AS seq, NULL::VARCHAR AS absent FROM events",
     "carried_cursors": "SELECT user_id AS connection, event_id AS pass, (max(1000 + event_id * 7919 % 180) OVER (PARTITION BY user_id ORDER BY event_id))::VARCHAR AS cursor FROM events",
     "strict_expiry": """SELECT event_id, ts > TIMESTAMP '2024-01-10 00:00:00' AS expired, ts > CASE WHEN event_id % 2 = 0 THEN TIMESTAMP '2024-01-09 22:00:00' ELSE TIMESTAMP '2024-01-10 05:00:00' END AS strictly FROM events""",

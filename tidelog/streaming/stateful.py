@@ -11,9 +11,9 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators.append import events_of, outcome_frame, outcome_row, request_of, state_of
 from ..operators.transition import StreamState, apply
-from ..schema import APPEND_REQUESTS, OUTCOMES
+from ..schema import APPEND_REQUESTS, OUTCOMES, PRODUCER_TTL
 
-STREAM_STATE = "exists boolean, content_type string, tail string, last_seq string, closed boolean, by_id string, by_epoch long, by_seq long, created double, ttl long, expires string"
+STREAM_STATE = "exists boolean, content_type string, tail string, last_seq string, closed boolean, by_id string, by_epoch long, by_seq long, created double, ttl long, expires string, swept double"
 
 
 class Appends(StatefulProcessor):
@@ -29,42 +29,55 @@ class Appends(StatefulProcessor):
     def _load(self) -> StreamState:
         if not self.stream.exists():
             return StreamState()
-        exists, kind, tail, seq, closed, by_id, by_epoch, by_seq, at, ttl, until = self.stream.get()
-        known = {k[0]: (v[0], v[1], v[2]) for k, v in self.producers.iterator()}
-        return StreamState(exists, kind, tail, seq, closed, None if by_id is None else (by_id, by_epoch, by_seq), at, ttl, until, known)
+        exists, kind, tail, seq, closed, by_id, by_epoch, by_seq, at, ttl, until, _ = self.stream.get()
+        return StreamState(exists, kind, tail, seq, closed, None if by_id is None else (by_id, by_epoch, by_seq), at, ttl, until)
 
-    def _store(self, s: StreamState, before: dict) -> None:
-        self.stream.update((s.exists, s.content_type, s.tail, s.last_seq, s.closed, *(s.closed_by or (None, None, None)), s.created_at, s.ttl_seconds, s.expires_at))
+    def _swept(self) -> float:
+        return self.stream.get()[-1] if self.stream.exists() else 0.0
+
+    def _ask(self, s: StreamState, producers: set[str]) -> dict:
+        """Puts what is known of these producers, and of no others, into s."""
+        for p in producers:
+            if self.producers.containsKey((p,)):
+                s.producers[p] = tuple(self.producers.getValue((p,)))
+        s.sweep_at = max(s.sweep_at, len(producers) + 1)
+        return dict(s.producers)
+
+    def _store(self, s: StreamState, before: dict, swept: float, now: float) -> None:
         for k, v in s.producers.items():
             if before.get(k) != v:
                 self.producers.updateValue((k,), v)
-        for k in before.keys() - s.producers.keys():
-            self.producers.removeKey((k,))
+        if now - swept > PRODUCER_TTL:  # once in that time, the old ones are forgotten
+            for k in [k[0] for k, v in self.producers.iterator() if now - v[2] > PRODUCER_TTL]:
+                self.producers.removeKey((k,))
+            swept = now
+        self.stream.update((s.exists, s.content_type, s.tail, s.last_seq, s.closed, *(s.closed_by or (None, None, None)), s.created_at, s.ttl_seconds, s.expires_at, swept))
 
     def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
         for r in initialState.itertuples(index=False):
-            self._store(state_of(r), {})
+            self._store(state_of(r), {}, r.at, r.at)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        state = self._load()
-        before = dict(state.producers)
+        state, swept = self._load(), self._swept()
         given = pd.concat(list(rows)).sort_values(["kind", "ingest_seq"], kind="stable")
+        before = self._ask(state, set(given["producer_id"].dropna()))
         out = []
         for r in given.itertuples(index=False):
             if r.kind == 0:
                 state = state_of(r)
             else:
                 out.append(outcome_row(key[0], r.ingest_seq, apply(state, request_of(r), self.strict)))
-        self._store(state, before)
+        self._store(state, before, swept, float(given["at"].max()))
         yield outcome_frame(out)
 
 
 def append_stream(requests: DataFrame, streams: DataFrame, strict: bool = False) -> DataFrame:
     """Outcomes of a stream of requests, given the streams that exist. Requests of a path must arrive in order of ingest_seq over batches.
 
-    Start it within settings.disk_state: it needs the RocksDB state store. Producers are forgotten
-    after PRODUCER_TTL seconds, when a later request of their stream comes, so state is bounded by the
-    producers of that time."""
+    Start it within settings.disk_state: it needs the RocksDB state store. A batch reads the producers that
+    its requests name and no others; those older than PRODUCER_TTL seconds count as unknown and are deleted once in
+    that time, so state is bounded by the producers of twice that time. One path's part of one batch is held
+    in memory: bound the trigger (maxFilesPerTrigger and the like)."""
     none = streams.sparkSession.createDataFrame([], APPEND_REQUESTS)
     known = events_of(none, streams, None).filter("kind = 0")
     rows = _requests_only(requests)

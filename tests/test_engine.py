@@ -70,8 +70,8 @@ def test_expired_streams_are_not_found(spark, tmp_path):
         heads = {r.path: r.http_status for r in log.head_outcomes(asked.filter("req_id % 3 = 0")).collect()}
         assert heads == {"/old": want, "/until": want, "/lasts": 200}
         assert {r.path for r in log.head(F.lit(at)).collect()} == ({"/lasts"} if want == 404 else {"/old", "/until", "/lasts"})
-        events = log.events(asked.filter("offset is null")).collect()
-        assert {r.req_id for r in events} == ({6} if want == 404 else {0, 3, 6})
+        events = log.events(asked.filter("offset = 'now'")).collect()
+        assert {r.req_id for r in events} == ({7} if want == 404 else {1, 4, 7}) and {r.event for r in events} == {"control"}
     gone = spark.createDataFrame([(p, i, at) for i, p in enumerate(("/old", "/lasts", "/z"))], "path string, ingest_seq long, as_of timestamp")
     assert {r.path: r.http_status for r in log.delete(gone).collect()} == {"/old": 404, "/lasts": 204, "/z": 404}
     assert [r.path for r in log.list_paths().collect()] == ["/until"]

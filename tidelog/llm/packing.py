@@ -10,7 +10,9 @@ bin, from this offset". Pieces learn their rank within their length from task-lo
 running count over tasks, so a length that a third of all pieces share is spread like any other.
 
 Defined results: null text counts as empty, and an empty document is the end-of-text id alone;
-repeated rows are packed each; an empty table gives no rows.
+texts of any length are encoded whole and cut into pieces; repeated rows are packed each; pieces of equal
+length are dealt in the order of their tasks (which of them goes where isn't part of the result); an
+empty table gives no rows; other columns, whatever their names, don't matter.
 """
 
 from __future__ import annotations

@@ -11,8 +11,9 @@ short of with a chance of `TAIL`. The union of overlapping suspicious windows is
 unless the allow-list (single words, numbers, UUIDs, paths and addresses, repeated units) suppresses it.
 Random letters of one case alone look like a word and are no candidates. Base matches always stay.
 
-Offsets are code points, end exclusive. Defined results: null and empty texts have no spans; repeated
-rows give repeated results; an empty table gives no rows; other columns don't matter.
+Offsets are code points, end exclusive. Defined results: null and empty texts have no spans; texts of any
+length are scanned whole; repeated rows give repeated results; spans that start together are ordered by
+kind as listed, then by end; an empty table gives no rows; other columns, whatever their names, don't matter.
 """
 
 from __future__ import annotations

@@ -8,7 +8,8 @@ most of its bytes, ties to the earlier one ("first": to the one with its first b
 last byte). The counts of a document's sections therefore sum to its tokens.
 
 Defined results: a null field counts as empty; an empty document has one section of no characters and
-no tokens; repeated rows are counted each; an empty table gives no rows; other columns don't matter.
+no tokens; texts of any length are encoded whole; repeated rows are counted each, and a null identifier
+stays null; an empty table gives no rows; other columns, whatever their names, don't matter.
 """
 
 from __future__ import annotations

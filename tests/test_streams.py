@@ -100,3 +100,18 @@ def test_scratch_is_cleared(spark):
     scratch.clear(spark)
     with pytest.raises(Exception, match="PATH_NOT_FOUND"):
         spark.read.parquet(path)
+
+
+@pytest.mark.parametrize(("master", "fails"), [("local[4]", False), ("local", False), ("local-cluster[3,2,1024]", True), ("spark://host:7077", True), ("yarn", True)])
+def test_no_folder_of_one_machine_on_a_cluster(master, fails):
+    from types import SimpleNamespace
+
+    from tidelog.sources.scratch import shared_dir
+
+    set_ = {}
+    session = SimpleNamespace(sparkContext=SimpleNamespace(master=master), conf=SimpleNamespace(get=lambda k, d: set_.get(k, d), set=set_.__setitem__))
+    if fails:
+        with pytest.raises(RuntimeError):
+            shared_dir(session)
+    else:
+        assert shared_dir(session) == shared_dir(session)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -11,10 +12,13 @@ from pyspark.sql import SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir of the session.
 
-    Only where that setting is absent (tests, one machine) a temporary folder is made."""
+    Only where that setting is absent on one machine (tests) a temporary folder is made; on a cluster, which
+    doesn't share those, its absence is an error."""
     given = spark.conf.get("spark.checkpoint.dir", None)
     if given:
         return given.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     own = spark.conf.get("tidelog.own.checkpoint.dir", None)
     if not own:
         own = "file://" + tempfile.mkdtemp(prefix="tidelog-")

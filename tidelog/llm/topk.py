@@ -13,7 +13,7 @@ exactly, so nothing is lost; ties go to the smaller identifier.
 
 Query blocks meet index blocks by key, both replicated by the other's number of blocks, and each meeting
 returns k rows per query; nothing is broadcast and no pair of rows is ever emitted. A meeting builds its
-block's index, which costs as much as some twenty of its up to `BLOCK_QUERIES` queries.
+block's index, which costs as much as some fifteen of its up to `BLOCK_QUERIES` queries.
 
 Defined results: vectors that are null, or hold a null or a non-finite component, take no part; vectors of
 another length than the query's are compared over the dimensions that both have; identifiers name rows,

@@ -17,7 +17,7 @@ def shared_dir(spark: SparkSession) -> str:
     given = spark.conf.get("spark.checkpoint.dir", None)
     if given:
         return given.rstrip("/")
-    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+    if not re.match(r"local(\[.*\])?$", spark.sparkContext.master):
         raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     own = spark.conf.get("tidelog.own.checkpoint.dir", None)
     if not own:

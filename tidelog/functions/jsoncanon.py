@@ -10,6 +10,8 @@ from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
+_compact = json.JSONEncoder(separators=(",", ":")).encode
+
 
 def elements(body: bytes | None) -> list[str] | None:
     """The compact texts of a body's elements: of an array each one, else the value itself; None where the body isn't JSON."""
@@ -17,7 +19,7 @@ def elements(body: bytes | None) -> list[str] | None:
         value = json.loads(bytes(body or b"").decode("utf-8"))
     except (ValueError, RecursionError):
         return None
-    return [json.dumps(x, separators=(",", ":")) for x in (value if isinstance(value, list) else [value])]
+    return [_compact(x) for x in (value if isinstance(value, list) else [value])]
 
 
 def stored(parts: list[str]) -> bytes:

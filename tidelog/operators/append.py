@@ -39,10 +39,19 @@ def request_of(r) -> Request:
     return Request(_text(r.content_type), _text(r.stream_seq), _text(r.stream_closed), _text(r.producer_id), _text(r.producer_epoch), _text(r.producer_seq), body, r.at)
 
 
+def requests_of(frame: pd.DataFrame) -> Iterator[tuple[int, Request]]:
+    """The number and request of each row of kind 2, without a tuple of all columns in between."""
+    texts = ([_text(x) for x in frame[c]] for c in ("content_type", "stream_seq", "stream_closed", "producer_id", "producer_epoch", "producer_seq"))
+    bodies = [bytes(x) if isinstance(x, (bytes, bytearray, memoryview)) else b"" for x in frame["body"]]
+    return zip(frame["ingest_seq"].tolist(), map(Request, *texts, bodies, frame["at"].tolist()))
+
+
 def outcome_frame(rows: list[tuple]) -> pd.DataFrame:
-    frame = pd.DataFrame(rows, columns=COLUMNS)
-    longs = ["ingest_seq", "producer_epoch", "producer_seq", "expected_seq", "received_seq"]
-    return frame.astype(dict.fromkeys(longs, "Int64") | {"http_status": "int32", "closed": bool})
+    """Numbers go from Python to 64 bits at once: by way of floats, large ones beside nulls would change."""
+    longs = dict.fromkeys(["ingest_seq", "producer_epoch", "producer_seq", "expected_seq", "received_seq"], "Int64")
+    kinds = longs | {"http_status": "int32", "closed": bool}
+    columns = zip(*rows) if rows else ((),) * len(COLUMNS)
+    return pd.DataFrame({c: pd.Series(pd.array(x, dtype=kinds[c]) if c in longs else x, dtype=kinds.get(c, object)) for c, x in zip(COLUMNS, map(list, columns))})
 
 
 def outcome_row(path: str, ingest_seq: int, o: Outcome) -> tuple:

@@ -538,10 +538,10 @@ def streaming_append(spark: SparkSession, sf: str) -> DataFrame:
     log = R.append_log(spark, sf)
     columns = [c.split()[0] for c in APPEND_REQUESTS.split(", ")]
     landing, out, checkpoint = (new_path(spark, n) for n in ("requests", "outcomes", "checkpoint"))
-    log.select(*columns).repartitionByRange(3, "ingest_seq").sortWithinPartitions("ingest_seq").write.parquet(landing)
+    log.select(*columns).repartitionByRange("ingest_seq").sortWithinPartitions("ingest_seq").write.parquet(landing)
     with disk_state(spark):
         asked = spark.readStream.schema(APPEND_REQUESTS).parquet(landing)
-        rows = append_stream(asked, R.append_streams(log)).select(*OUTCOME)
+        rows = append_stream(asked, R.append_streams(spark.read.schema(APPEND_REQUESTS).parquet(landing))).select(*OUTCOME)
         rows.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(rows.schema).parquet(out)
 
